@@ -122,12 +122,12 @@ def with_halo(df: DataFrame, position: str, chunk_rows: int | None = None,
     )
 
 
-def spread_join(big: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
-    """Join per-symbol rows to a chunked frame on (symbol, chunk) instead of symbol.
+def spread_join(big: DataFrame, small: DataFrame, on: str = "symbol") -> DataFrame:
+    """Join per-symbol (or per-day, ...) rows to a chunked frame on (on, chunk) instead of ``on``.
 
-    ``small`` has a bounded number of rows per symbol. It is first joined to the distinct chunk
-    list, so the large join is balanced even when one symbol holds most rows, and no side is
-    broadcast on trust.
+    ``small`` has one row per ``on`` value. It is first joined to the distinct (on, chunk) list, so
+    the large join is balanced even when one value holds most rows, and no side is broadcast on
+    trust.
     """
-    chunks = big.select("symbol", "chunk").distinct()
-    return big.join(chunks.join(small, "symbol"), ["symbol", "chunk"], how)
+    chunks = big.select(on, "chunk").distinct()
+    return big.join(chunks.join(small, on), [on, "chunk"])

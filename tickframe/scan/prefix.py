@@ -32,20 +32,20 @@ def running_sums(df: DataFrame, sums: dict[str, Column], order: list[str]) -> Da
         Window.partitionBy("symbol").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
     totals = df.groupBy("symbol", "chunk").agg(
-        *[F.sum(column).alias(f"_{name}") for name, column in sums.items()]
+        *[F.sum(column).alias(f"__off_{name}") for name, column in sums.items()]
     )
     offsets = totals.select(
-        "symbol", "chunk", *[F.sum(f"_{name}").over(earlier).alias(f"_{name}") for name in sums]
+        "symbol", "chunk", *[F.sum(f"__off_{name}").over(earlier).alias(f"__off_{name}") for name in sums]
     )
     local = df.select("*", *[F.sum(column).over(upto).alias(name) for name, column in sums.items()])
     joined = local.join(offsets, ["symbol", "chunk"])
     for name in sums:
-        left, right = F.col(name), F.col(f"_{name}")
+        left, right = F.col(name), F.col(f"__off_{name}")
         if isinstance(local.schema[name].dataType, T.DecimalType):
             left, right = left.cast(_WIDE), right.cast(_WIDE)
         joined = joined.withColumn(name, F.coalesce(left, F.lit(0).cast(local.schema[name].dataType))
                                    + F.coalesce(right, F.lit(0).cast(local.schema[name].dataType)))
-    return joined.drop(*[f"_{name}" for name in sums])
+    return joined.drop(*[f"__off_{name}" for name in sums])
 
 
 def dense_position(df: DataFrame, name: str) -> DataFrame:
@@ -74,13 +74,13 @@ def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]], position:
     blocks = Window.partitionBy("symbol").orderBy("_block")
     scaled = {n: (x * F.pow(F.lit(q), -F.col("_i")), q) for n, (x, q) in sums.items()}
     totals = base.groupBy("symbol", "_block").agg(
-        *[(F.sum(x) * F.lit(q ** (m - 1))).alias(f"_{n}") for n, (x, q) in scaled.items()]
+        *[(F.sum(x) * F.lit(q ** (m - 1))).alias(f"__off_{n}") for n, (x, q) in scaled.items()]
     )
     carries = totals.select(
         "symbol", "_block",
         *[
-            (F.coalesce(F.lag(f"_{n}", 1).over(blocks), F.lit(0.0))
-             + F.coalesce(F.lag(f"_{n}", 2).over(blocks), F.lit(0.0)) * F.lit(q ** m)).alias(f"_{n}")
+            (F.coalesce(F.lag(f"__off_{n}", 1).over(blocks), F.lit(0.0))
+             + F.coalesce(F.lag(f"__off_{n}", 2).over(blocks), F.lit(0.0)) * F.lit(q ** m)).alias(f"__off_{n}")
             for n, (_, q) in scaled.items()
         ],
     )
@@ -92,6 +92,6 @@ def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]], position:
     joined = local.join(carries, ["symbol", "_block"])
     for n, (_, q) in scaled.items():
         joined = joined.withColumn(
-            n, F.col(n) + F.pow(F.lit(q), F.col("_i") + 1) * F.col(f"_{n}")
+            n, F.col(n) + F.pow(F.lit(q), F.col("_i") + 1) * F.col(f"__off_{n}")
         )
-    return joined.drop("_block", "_i", *[f"_{n}" for n in scaled])
+    return joined.drop("_block", "_i", *[f"__off_{n}" for n in scaled])
