@@ -74,7 +74,7 @@ def purge(bars: DataFrame, spans: DataFrame, test_spans: DataFrame, chunk_rows:
     )
 
 
-def _tiles(spans: DataFrame, groups: int, chunk_rows: int | None) -> DataFrame:
+def tiles(spans: DataFrame, groups: int, chunk_rows: int | None = None) -> DataFrame:
     """Spans in (t0, event_id) order with ``tile``: contiguous, the first n mod groups one longer."""
     order = ["t0_seq", "event_id"] if "event_id" in spans.columns else ["t0_seq"]
     keyed = spans if "event_id" in spans.columns else spans.withColumn("event_id", F.col("t0_seq"))
@@ -107,7 +107,7 @@ def _folds(spans: DataFrame, bars: DataFrame, groups: int, members: list[tuple[i
     _check_embargo(embargo_pct)
     if groups > MAX_GROUPS:
         raise ValueError(f"at most {MAX_GROUPS} groups, got {groups}")
-    tiled = materialize(_tiles(spans, groups, chunk_rows))
+    tiled = materialize(tiles(spans, groups, chunk_rows))
     blocks = embargoed_blocks(tiled, bars, embargo_pct)
     # One array of at most ``groups`` blocks per symbol; each span is compared with it once, whatever
     # the number of folds.

@@ -184,6 +184,7 @@ def resolve_approvals(signals: DataFrame, responses: DataFrame, seconds: int = A
     valid = responses.filter(F.col("response").isin("approve", "cancel"))
     in_time = (waited >= 0) & (waited < seconds * 1_000_000)
     first = signals.select("signal_id", "sent_at").join(valid, "signal_id").filter(in_time).groupBy("signal_id").agg(
-        F.min_by("response", "responded_at").alias("decision"), F.min("responded_at").alias("decided_at"))
+        F.min(F.struct("responded_at", "response")).alias("_r")
+    ).select("signal_id", F.col("_r.response").alias("decision"), F.col("_r.responded_at").alias("decided_at"))
     return signals.join(first, "signal_id", "left").withColumn(
         "decision", F.coalesce("decision", F.lit("timeout")))
