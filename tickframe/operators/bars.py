@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.scan.carry import piece_schema, resolve_entries, simplify
-from tickframe.scan.chunks import MAX_CHUNKS, map_slices, ordered_chunks
+from tickframe.scan.chunks import MAX_CHUNKS, chunk_bits, map_slices, ordered_chunks
 from tickframe.schema import BARS
 
 SCALE = 16                     # price and amount have 8 decimals each
@@ -112,8 +112,10 @@ def assign_bars(trades: DataFrame, threshold, chunk_rows: int | None = None,
     limit = units_of(threshold)
     if limit <= 0:
         raise ValueError(f"threshold must be positive, got {threshold!r}")
+    rows = trades.count()
+    single = rows <= 1 << chunk_bits(rows, chunk_rows)
     chunked = ordered_chunks(trades.select("symbol", "ts", "seq", "price", "amount"),
-                             ["ts", "seq"], chunk_rows)
+                             ["ts", "seq"], chunk_rows, rows)
     value = F.col("price") * F.col("amount")
     whole = F.floor(value).cast("long")
     valued = chunked.withColumn("whole", whole).withColumn(
@@ -124,7 +126,6 @@ def assign_bars(trades: DataFrame, threshold, chunk_rows: int | None = None,
         "symbol", (F.col("dollar_volume") * F.lit(UNIT).cast("decimal(17,0)")).cast(UNITS_TYPE).alias("entry"),
         F.col("bar_seq").alias("before"),
     )
-    single = valued.agg(F.max("chunk")).first()[0] in (None, 0)
     if single and initial is None:
         placed = valued.withColumns({"entry": zero, "before": F.lit(0).cast("long")})
     else:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tickframe.scan.carry import piece_schema, resolve_entries, simplify
 from tickframe.scan.chunks import position_chunk
-from tickframe.session import materialize
 
 
 def _arm_map(step: np.ndarray, limit: np.ndarray) -> list[tuple]:
@@ -118,12 +117,12 @@ def cusum_events(series: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     Rows with a NULL return are skipped.
 
     Chunks are summarized for the lower arm, then for the upper arm given the lower one's firings,
-    and finally replayed with both true entry values.
+    and finally replayed with both true entry values; pass a materialized series, it is read by each
+    of these steps.
     """
     chunked = series.filter("log_diff IS NOT NULL").select(
         "symbol", "bar_seq", "log_diff", F.nanvl(F.col("h").cast("double"), F.lit(None).cast("double")).alias("h")
     ).withColumn("chunk", position_chunk("bar_seq", chunk_rows))
-    chunked = materialize(chunked)
     spans = chunked.agg(F.min("chunk"), F.max("chunk")).first()
     zero = F.lit(0.0)
     if spans[0] == spans[1]:

@@ -11,7 +11,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.scan.chunks import ordered_chunks, position_chunk, spread_join
+from tickframe.operators.weights import ordered_spans
+from tickframe.scan.chunks import position_chunk, spread_join
 from tickframe.scan.prefix import dense_position, running_sums
 from tickframe.session import materialize
 
@@ -76,9 +77,8 @@ def purge(bars: DataFrame, spans: DataFrame, test_spans: DataFrame, chunk_rows:
 
 def tiles(spans: DataFrame, groups: int, chunk_rows: int | None = None) -> DataFrame:
     """Spans in (t0, event_id) order with ``tile``: contiguous, the first n mod groups one longer."""
-    order = ["t0_seq", "event_id"] if "event_id" in spans.columns else ["t0_seq"]
     keyed = spans if "event_id" in spans.columns else spans.withColumn("event_id", F.col("t0_seq"))
-    chunked = ordered_chunks(keyed.select("symbol", "event_id", "t0_seq", "t1_seq"), order, chunk_rows)
+    chunked = ordered_spans(keyed, chunk_rows).select("symbol", "event_id", "t0_seq", "t1_seq", "pos", "chunk")
     placed = dense_position(chunked, "_p")
     sizes = chunked.groupBy("symbol").agg(F.count("*").alias("_n"))
     small = F.col("_n") < groups

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tickframe.functions.exprs import half_up
 from tickframe.scan.chunks import ordered_chunks, with_halo
-from tickframe.scan.prefix import decayed_sums, dense_position
+from tickframe.scan.prefix import decay_block, decayed_sums, dense_position
 
 # Strategy constants (fixed values).
 EMA_FAST = 9
@@ -51,18 +51,20 @@ def _smoothing(value: Column, seed: Column, first: int, weight: float) -> Column
     return F.when(F.col("bar_seq") == first, seed).when(F.col("bar_seq") > first, value * weight).otherwise(0.0)
 
 
-def with_indicators(numbered: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+def with_indicators(numbered: DataFrame) -> DataFrame:
     """Add ema_fast, ema_slow (and their previous values), rsi, volume_sma, volume_ratio, swing_low
     and swing_high; an indicator is NULL before its warm-up is complete.
 
     Averages are seeded with the simple mean of their first period and kept at 8 decimals, so equal
-    averages compare as equal.
+    averages compare as equal. One shuffle serves the row frames and the decayed sums.
     """
+    fast, slow, wilder = 2 / (EMA_FAST + 1), 2 / (EMA_SLOW + 1), 1 / RSI_PERIOD
+    block = decay_block([1 - fast, 1 - slow, 1 - wilder])
     w = Window.partitionBy("symbol", "chunk").orderBy("bar_seq")
     change = F.col("close") - F.lag("close").over(w)
     last = lambda n: w.rowsBetween(1 - n, 0)
     framed = (
-        with_halo(numbered, "bar_seq", chunk_rows, before=EMA_SLOW)
+        with_halo(numbered, "bar_seq", block, before=EMA_SLOW)
         .withColumn("_change", change)
         .withColumns({
             "_gain": F.greatest(F.col("_change"), F.lit(0)).cast("double"),
@@ -77,10 +79,9 @@ def with_indicators(numbered: DataFrame, chunk_rows: int | None = None) -> DataF
             "swing_low": F.min("low").over(last(SWING_LOOKBACK)),
             "swing_high": F.max("high").over(last(SWING_LOOKBACK)),
         })
-        .filter(~F.col("is_halo")).drop("is_halo", "chunk", "_change")
+        .filter(~F.col("is_halo")).drop("is_halo", "_change")
     )
     price = F.col("close").cast("double")
-    fast, slow, wilder = 2 / (EMA_FAST + 1), 2 / (EMA_SLOW + 1), 1 / RSI_PERIOD
     smooth = decayed_sums(framed, {
         "_fast": (_smoothing(price, F.col("_seed_fast"), EMA_FAST - 1, fast), 1 - fast),
         "_slow": (_smoothing(price, F.col("_seed_slow"), EMA_SLOW - 1, slow), 1 - slow),
@@ -102,7 +103,7 @@ def with_indicators(numbered: DataFrame, chunk_rows: int | None = None) -> DataF
         "prev_slow": ready((F.col("_slow") - price * slow) / (1 - slow), EMA_SLOW),
         "rsi": F.when(F.col("bar_seq") >= RSI_PERIOD, half_up(rsi.cast("decimal(20,10)"), 2)).cast("decimal(5,2)"),
         "volume_ratio": ratio.cast("decimal(28,8)"),
-    }).drop("_fast", "_slow", "_up", "_down", "_gain", "_loss",
+    }).drop("chunk", "_fast", "_slow", "_up", "_down", "_gain", "_loss",
             "_seed_fast", "_seed_slow", "_seed_gain", "_seed_loss")
 
 

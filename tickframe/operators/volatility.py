@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tickframe.functions.exprs import rounded_vol
 from tickframe.scan.chunks import with_halo
-from tickframe.scan.prefix import decayed_sums
+from tickframe.scan.prefix import decay_block, decayed_sums
 
 DEFAULT_SPAN = 20
 # Below this share of the mean square a variance is rounding noise of the two sums.
@@ -32,16 +32,20 @@ def with_log_returns(bars: DataFrame, chunk_rows: int | None = None) -> DataFram
     )
 
 
+def _decay(span: int) -> float:
+    if span < 2:
+        raise ValueError(f"span must be >= 2, got {span}.")
+    return 1 - 2 / (span + 1)
+
+
 def ewma_std(returns: DataFrame, value: str, span: int, name: str = "vol") -> DataFrame:
     """Add the bias-corrected EWMA standard deviation of ``value`` (NULL for the first ``span`` bars).
 
-    Weights are q^k with q = 1 - 2/(span+1). With S0 = sum of weights, S1 and S2 the weighted sums
-    of x and x^2, and Q the sum of squared weights, the variance is
-    (S2/S0 - (S1/S0)^2) * S0^2 / (S0^2 - Q).
+    ``returns`` is chunked as :func:`ewma_vol` does. Weights are q^k with q = 1 - 2/(span+1). With S0 =
+    sum of weights, S1 and S2 the weighted sums of x and x^2, and Q the sum of squared weights, the
+    variance is (S2/S0 - (S1/S0)^2) * S0^2 / (S0^2 - Q).
     """
-    if span < 2:
-        raise ValueError(f"span must be >= 2, got {span}.")
-    q = 1 - 2 / (span + 1)
+    q = _decay(span)
     x = F.coalesce(F.col(value), F.lit(0.0))
     seen = F.when(F.col(value).isNull(), 0.0).otherwise(1.0)
     sums = decayed_sums(
@@ -59,9 +63,14 @@ def ewma_std(returns: DataFrame, value: str, span: int, name: str = "vol") -> Da
     )
 
 
-def ewma_vol(bars: DataFrame, span: int = DEFAULT_SPAN, chunk_rows: int | None = None) -> DataFrame:
-    """Bars with ``chunk``, ``log_ratio``, ``log_diff`` and ``vol``; closes must be positive."""
-    return ewma_std(with_log_returns(bars, chunk_rows), "log_ratio", span)
+def ewma_vol(bars: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
+    """Bars with ``log_ratio``, ``log_diff`` and ``vol``; closes must be positive.
+
+    One shuffle of the bars serves the lag and the decayed sums.
+    """
+    q = _decay(span)
+    returns = with_log_returns(bars, decay_block([q, q * q]))
+    return ewma_std(returns, "log_ratio", span).drop("chunk")
 
 
 def ewma_vol_latest(vols: DataFrame) -> DataFrame:

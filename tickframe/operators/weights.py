@@ -9,27 +9,11 @@ from tickframe.scan.chunks import ordered_chunks, position_chunk, spread_join
 from tickframe.scan.prefix import exact, running_sums
 
 
-def span_rules() -> dict[str, Column]:
-    """A span is resolved and lies forward; use with ``require`` before weighting."""
-    return {
-        "t1 resolved": F.col("t1_seq").isNotNull(),
-        "t1 not before t0": F.col("t0_seq") <= F.col("t1_seq"),
-        "t0 on the grid": F.col("t0_seq") >= 0,
-    }
-
-
-def _off_grid(grid: DataFrame, spans: DataFrame) -> DataFrame:
-    """Spans whose start or end is not a bar; there must be none."""
-    ends = spans.select("symbol", F.explode(F.array("t0_seq", "t1_seq")).alias("bar_seq")).distinct()
-    return ends.join(grid.select("symbol", "bar_seq"), ["symbol", "bar_seq"], "left_anti")
-
-
-def require_on_grid(grid: DataFrame, spans: DataFrame) -> None:
-    """Error when a span end is NULL or not a bar of the grid (stops at the first one found)."""
-    if spans.filter("t0_seq IS NULL OR t1_seq IS NULL").limit(1).count():
-        raise ValueError("spans must be resolved: t0_seq and t1_seq must not be null")
-    if _off_grid(grid, spans).limit(1).count():
-        raise ValueError("spans must start and end on bars of the grid")
+def _checked(spans: DataFrame) -> DataFrame:
+    """Spans whose ends are present and in order; the job fails on any other."""
+    good = (F.col("t0_seq") >= 0) & (F.col("t0_seq") <= F.col("t1_seq"))
+    error = F.raise_error(F.lit("spans must be resolved: 0 <= t0_seq <= t1_seq")).cast("long")
+    return spans.withColumn("t1_seq", F.when(good, F.col("t1_seq")).otherwise(error))
 
 
 def concurrency(grid: DataFrame, spans: DataFrame, chunk_rows: int | None = None) -> DataFrame:
@@ -39,7 +23,7 @@ def concurrency(grid: DataFrame, spans: DataFrame, chunk_rows: int | None = None
     bars they cover, and equal starts are summed before the join.
     """
     steps = (
-        spans.select("symbol", F.explode(F.array(
+        _checked(spans).select("symbol", F.explode(F.array(
             F.struct(F.col("t0_seq").alias("bar_seq"), F.lit(1).alias("step")),
             F.struct((F.col("t1_seq") + 1).alias("bar_seq"), F.lit(-1).alias("step")),
         )).alias("s"))
@@ -54,7 +38,10 @@ def concurrency(grid: DataFrame, spans: DataFrame, chunk_rows: int | None = None
 
 def _over_span(grid: DataFrame, spans: DataFrame, terms: dict[str, Column],
                chunk_rows: int | None) -> DataFrame:
-    """Spans with the exact sum of each per-bar term over t0..t1, by two point lookups."""
+    """Spans with the exact sum of each per-bar term over t0..t1, by two point lookups.
+
+    The job fails when a span starts or ends on a position that is not a bar of the grid.
+    """
     base = grid.withColumn("chunk", position_chunk("bar_seq", chunk_rows))
     sums = running_sums(base.withColumns({f"_x_{n}": exact(c) for n, c in terms.items()}),
                         {f"_s_{n}": F.col(f"_x_{n}") for n in terms}, ["bar_seq"])
@@ -62,10 +49,11 @@ def _over_span(grid: DataFrame, spans: DataFrame, terms: dict[str, Column],
                          *[(F.col(f"_s_{n}") - F.col(f"_x_{n}")).alias(f"_a_{n}") for n in terms])
     upto = sums.select("symbol", F.col("bar_seq").alias("t1_seq"),
                        *[F.col(f"_s_{n}").alias(f"_b_{n}") for n in terms])
-    joined = spans.join(before, ["symbol", "t0_seq"]).join(upto, ["symbol", "t1_seq"])
-    return joined.withColumns(
-        {n: (F.col(f"_b_{n}") - F.col(f"_a_{n}")).cast("double") for n in terms}
-    ).drop(*[f"_{s}_{n}" for n in terms for s in "ab"])
+    joined = spans.join(before, ["symbol", "t0_seq"], "left").join(upto, ["symbol", "t1_seq"], "left")
+    error = F.raise_error(F.lit("spans must start and end on bars of the grid")).cast("double")
+    return joined.withColumns({
+        n: F.coalesce((F.col(f"_b_{n}") - F.col(f"_a_{n}")).cast("double"), error) for n in terms
+    }).drop(*[f"_{s}_{n}" for n in terms for s in "ab"])
 
 
 def _inverse(co_events: str = "co_events") -> Column:
@@ -100,7 +88,11 @@ def uniqueness_and_attribution(counted: DataFrame, spans: DataFrame,
     }).drop("_u", "_r")
 
 
-def _chunked(spans: DataFrame, chunk_rows: int | None) -> DataFrame:
+def ordered_spans(spans: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+    """Spans in (t0_seq, event_id) order with ``pos`` and ``chunk``; unchanged if they have them.
+
+    Order the spans before measuring them: the columns travel along, and no later step orders again.
+    """
     if "chunk" in spans.columns and "pos" in spans.columns:
         return spans
     order = ["t0_seq", "event_id"] if "event_id" in spans.columns else ["t0_seq"]
@@ -109,7 +101,7 @@ def _chunked(spans: DataFrame, chunk_rows: int | None) -> DataFrame:
 
 def normalize_weights(spans: DataFrame, weight: str, name: str, chunk_rows: int | None = None) -> DataFrame:
     """Add ``name``: the weight scaled so that each symbol's weights sum to their number."""
-    chunked = _chunked(spans, chunk_rows)
+    chunked = ordered_spans(spans, chunk_rows)
     totals = chunked.groupBy("symbol").agg(F.sum(exact(F.col(weight))).cast("double").alias("_total"),
                                            F.count("*").alias("_n"))
     scaled = F.when(F.col("_total") == 0, F.col(weight)).otherwise(
@@ -123,7 +115,7 @@ def time_decay(spans: DataFrame, decay_c: float, chunk_rows: int | None = None)
     c >= 0: the line runs from c at zero uniqueness to 1. c < 0: the oldest share is cut to 0. At
     c = -1 the line is undefined and the factor is NULL. Equal starts are ordered by event_id.
     """
-    chunked = _chunked(spans, chunk_rows)
+    chunked = ordered_spans(spans, chunk_rows)
     summed = running_sums(chunked, {"_cum": exact(F.col("avg_uniqueness"))}, ["pos"])
     totals = chunked.groupBy("symbol").agg(
         F.sum(exact(F.col("avg_uniqueness"))).cast("double").alias("_total"))

@@ -18,7 +18,7 @@ def sampled_events(bars: DataFrame, config: LabelConfig, chunk_rows: int | None
     Volatility is computed once and serves as threshold and target. Sampling starts at the first bar
     with a volatility, so the first return used is the one after it.
     """
-    vols = materialize(ewma_vol(bars.select("symbol", "bar_seq", "close"), config.ewma_span, chunk_rows)
+    vols = materialize(ewma_vol(bars.select("symbol", "bar_seq", "close"), config.ewma_span)
                        .select("symbol", "bar_seq", "log_diff", "vol"))
     sampled = vols.filter(F.col("bar_seq") > config.ewma_span).withColumn("h", F.col("vol") * config.kappa)
     fired = cusum_events(sampled, chunk_rows)

@@ -10,11 +10,10 @@ from tickframe.operators.volatility import with_log_returns
 from tickframe.operators.weights import (
     concurrency,
     normalize_weights,
-    require_on_grid,
+    ordered_spans,
     time_decay,
     uniqueness_and_attribution,
 )
-from tickframe.scan.chunks import ordered_chunks
 from tickframe.session import materialize
 
 
@@ -26,14 +25,11 @@ def sample_weights(bars: DataFrame, labels: DataFrame, config: WeightConfig,
     feeds both measures.
     """
     keys = ["symbol", "t0_seq", "t1_seq", "t1"] + (["event_id"] if "event_id" in labels.columns else [])
-    spans = materialize(labels.select(*keys))
-    require_on_grid(bars, spans)
+    spans = ordered_spans(labels.select(*keys), chunk_rows)
     grid = with_log_returns(bars.select("symbol", "bar_seq", "close"), chunk_rows).drop("chunk")
     counted = concurrency(grid.select("symbol", "bar_seq", "log_diff"), spans, chunk_rows)
-    measured = uniqueness_and_attribution(counted, spans, chunk_rows)
-    order = ["t0_seq", "event_id"] if "event_id" in keys else ["t0_seq"]
-    chunked = ordered_chunks(measured, order, chunk_rows)
-    weighted = time_decay(normalize_weights(chunked, "attribution", "_norm"), config.decay_c)
+    measured = materialize(uniqueness_and_attribution(counted, spans, chunk_rows))
+    weighted = time_decay(normalize_weights(measured, "attribution", "_norm"), config.decay_c)
     return weighted.withColumn("weight", F.col("_norm") * F.col("decay")).select(
         *keys[:3], "avg_uniqueness", "weight", *keys[3:]
     )

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tickframe.session import materialize
 
-MIN_CHUNK_ROWS = 1 << 16       # rows per chunk for ordered_chunks on ordinary inputs
+MIN_CHUNK_ROWS = 1 << 18       # rows per chunk for ordered_chunks on ordinary inputs
 MAX_CHUNKS = 1 << 20           # chunks grow instead of becoming more numerous than this
 PARTITION_ROWS = 4_000_000     # rows per shuffle partition before the cap below
 MAX_PARTITIONS = 50_000
@@ -33,17 +33,25 @@ def _bits(rows: int) -> int:
     return max(0, math.ceil(math.log2(rows)))
 
 
-def ordered_chunks(df: DataFrame, order: list[str], chunk_rows: int | None = None) -> DataFrame:
+def chunk_bits(rows: int, chunk_rows: int | None = None) -> int:
+    """Log2 of the chunk size for a frame of ``rows`` rows."""
+    return _bits(chunk_rows or max(MIN_CHUNK_ROWS, math.ceil(rows / MAX_CHUNKS)))
+
+
+def ordered_chunks(df: DataFrame, order: list[str], chunk_rows: int | None = None,
+                   rows: int | None = None) -> DataFrame:
     """Sort by (symbol, order...) and add ``pos`` and ``chunk``.
 
     ``pos`` increases along (symbol, order...) over the whole frame, with gaps between
     partitions. ``chunk`` is a slice of ``pos`` with at most ``chunk_rows`` rows (rounded up to
     a power of two); there are at most MAX_CHUNKS + MAX_PARTITIONS of them at any input size.
     (symbol, order...) must be a total order. The result is materialized, because the range
-    bounds are sampled and must be the same for every later reader.
+    bounds are sampled and must be the same for every later reader. Sampling reads the input once
+    more, so call this on stored or materialized rows; ``rows`` saves a count where it is known. A
+    frame that fits in one chunk is sorted without sampling and has chunk 0 only.
     """
-    rows = df.count()
-    bits = _bits(chunk_rows or max(MIN_CHUNK_ROWS, math.ceil(rows / MAX_CHUNKS)))
+    rows = df.count() if rows is None else rows
+    bits = chunk_bits(rows, chunk_rows)
     cores = df.sparkSession.sparkContext.defaultParallelism
     partitions = max(
         1,

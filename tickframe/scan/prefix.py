@@ -54,33 +54,38 @@ def dense_position(df: DataFrame, name: str) -> DataFrame:
     return counted.withColumn(name, F.col(name) - 1)
 
 
+def decay_block(factors: list[float]) -> int:
+    """Rows per chunk for :func:`decayed_sums`: the largest power of two that keeps every factor's
+    inverse power below about 1e130."""
+    return 1 << max(1, math.floor(math.log2(300 / max(-math.log(q) for q in factors))))
+
+
 def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]], position: str) -> DataFrame:
     """Add y_t = q*y_(t-1) + x_t per symbol (y before the first row is 0) over a dense position.
 
-    Inside a block of m positions y is ``q^i * sum(x * q^-i)``, one ordinary window sum. m is
-    chosen so that q^-m stays near 1e130 at most: doubles hold the weights, and a value two
-    blocks back has decayed below any double's resolution, so the carry into a block needs the
-    totals of the two blocks before it only. Blocks grow with the memory of the decay, never
-    with the series.
+    ``df`` has ``chunk`` = position / decay_block(factors), e.g. from ``with_halo``, whose shuffle is
+    reused. Inside a chunk y is ``q^i * sum(x * q^-i)``, one ordinary window sum. Doubles hold the
+    weights, and a value three chunks back has decayed far below their resolution, so the carry into
+    a chunk needs the totals of the two chunks before it only. Chunks grow with the memory of the
+    decay, never with the series.
     """
-    m = max(2, math.floor(300 / max(-math.log(q) for _, q in sums.values())))
-    base = df.withColumn("_block", F.floor(F.col(position) / m)).withColumn(
-        "_i", (F.col(position) - F.col("_block") * m).cast("double")
-    )
+    m = decay_block([q for _, q in sums.values()])
+    i = (F.col(position) - F.col("chunk") * m).cast("double")
+    base = df.withColumn("_i", i)
     upto = (
-        Window.partitionBy("symbol", "_block").orderBy(position)
+        Window.partitionBy("symbol", "chunk").orderBy(position)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    blocks = Window.partitionBy("symbol").orderBy("_block")
+    chunks = Window.partitionBy("symbol").orderBy("chunk")
     scaled = {n: (x * F.pow(F.lit(q), -F.col("_i")), q) for n, (x, q) in sums.items()}
-    totals = base.groupBy("symbol", "_block").agg(
+    totals = base.groupBy("symbol", "chunk").agg(
         *[(F.sum(x) * F.lit(q ** (m - 1))).alias(f"__off_{n}") for n, (x, q) in scaled.items()]
     )
     carries = totals.select(
-        "symbol", "_block",
+        "symbol", "chunk",
         *[
-            (F.coalesce(F.lag(f"__off_{n}", 1).over(blocks), F.lit(0.0))
-             + F.coalesce(F.lag(f"__off_{n}", 2).over(blocks), F.lit(0.0)) * F.lit(q ** m)).alias(f"__off_{n}")
+            (F.coalesce(F.lag(f"__off_{n}", 1).over(chunks), F.lit(0.0))
+             + F.coalesce(F.lag(f"__off_{n}", 2).over(chunks), F.lit(0.0)) * F.lit(q ** m)).alias(f"__off_{n}")
             for n, (_, q) in scaled.items()
         ],
     )
@@ -89,9 +94,9 @@ def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]], position:
         *[(F.sum(x).over(upto) * F.pow(F.lit(q), F.col("_i"))).alias(n)
           for n, (x, q) in scaled.items()],
     )
-    joined = local.join(carries, ["symbol", "_block"])
+    joined = local.join(carries, ["symbol", "chunk"])
     for n, (_, q) in scaled.items():
         joined = joined.withColumn(
             n, F.col(n) + F.pow(F.lit(q), F.col("_i") + 1) * F.col(f"__off_{n}")
         )
-    return joined.drop("_block", "_i", *[f"__off_{n}" for n in scaled])
+    return joined.drop("_i", *[f"__off_{n}" for n in scaled])
