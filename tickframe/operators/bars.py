@@ -115,7 +115,7 @@ def assign_bars(trades: DataFrame, threshold, chunk_rows: int | None = None,
     rows = trades.count()
     single = rows <= 1 << chunk_bits(rows, chunk_rows)
     chunked = ordered_chunks(trades.select("symbol", "ts", "seq", "price", "amount"),
-                             ["ts", "seq"], chunk_rows, rows)
+                             ["ts", "seq"], chunk_rows, rows, reread=not single or open_bars is not None)
     value = F.col("price") * F.col("amount")
     whole = F.floor(value).cast("long")
     valued = chunked.withColumn("whole", whole).withColumn(

@@ -63,10 +63,10 @@ def purge(bars: DataFrame, spans: DataFrame, test_spans: DataFrame, chunk_rows:
     )
     grid = bars.select("symbol", "bar_seq").withColumn("chunk", position_chunk("bar_seq", chunk_rows))
     zero = F.lit(0).cast("long")
-    counted = running_sums(
+    counted = materialize(running_sums(
         grid.join(marks, ["symbol", "bar_seq"], "left"),
         {"_started": F.coalesce("_s", zero), "_ended": F.coalesce("_e", zero)}, ["bar_seq"],
-    ).withColumn("_ended", F.col("_ended") - F.coalesce("_e", zero))
+    ).withColumn("_ended", F.col("_ended") - F.coalesce("_e", zero)))
     started = counted.select("symbol", F.col("bar_seq").alias("t1_seq"), "_started")
     ended = counted.select("symbol", F.col("bar_seq").alias("t0_seq"), "_ended")
     return (
@@ -79,16 +79,14 @@ def tiles(spans: DataFrame, groups: int, chunk_rows: int | None = None) -> DataF
     """Spans in (t0, event_id) order with ``tile``: contiguous, the first n mod groups one longer."""
     keyed = spans if "event_id" in spans.columns else spans.withColumn("event_id", F.col("t0_seq"))
     chunked = ordered_spans(keyed, chunk_rows).select("symbol", "event_id", "t0_seq", "t1_seq", "pos", "chunk")
-    placed = dense_position(chunked, "_p")
-    sizes = chunked.groupBy("symbol").agg(F.count("*").alias("_n"))
-    small = F.col("_n") < groups
+    placed = dense_position(chunked, "_p", "_n")
     error = F.raise_error(F.concat(F.lit(f"fewer events than {groups} folds for "), F.col("symbol")))
-    sizes = sizes.withColumn("_n", F.when(small, error.cast("long")).otherwise(F.col("_n")))
+    placed = placed.withColumn("_n", F.when(F.col("_n") < groups, error.cast("long")).otherwise(F.col("_n")))
     base, longer = F.floor(F.col("_n") / groups), F.col("_n") % groups
     edge = longer * (base + 1)
     tile = F.when(F.col("_p") < edge, F.floor(F.col("_p") / (base + 1))).otherwise(
         longer + F.floor((F.col("_p") - edge) / base))
-    return spread_join(placed, sizes).withColumn("tile", tile.cast("int")).drop("_p", "_n", "pos")
+    return placed.withColumn("tile", tile.cast("int")).drop("_p", "_n", "pos")
 
 
 def embargoed_blocks(tiled: DataFrame, bars: DataFrame, embargo_pct: float) -> DataFrame:

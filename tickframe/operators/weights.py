@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.scan.chunks import ordered_chunks, position_chunk, spread_join
+from tickframe.scan.chunks import ordered_chunks, position_chunk
 from tickframe.scan.prefix import exact, running_sums
+from tickframe.session import materialize
 
 
 def _checked(spans: DataFrame) -> DataFrame:
@@ -42,9 +43,10 @@ def _over_span(grid: DataFrame, spans: DataFrame, terms: dict[str, Column],
 
     The job fails when a span starts or ends on a position that is not a bar of the grid.
     """
-    base = grid.withColumn("chunk", position_chunk("bar_seq", chunk_rows))
-    sums = running_sums(base.withColumns({f"_x_{n}": exact(c) for n, c in terms.items()}),
-                        {f"_s_{n}": F.col(f"_x_{n}") for n in terms}, ["bar_seq"])
+    base = grid.select("symbol", "bar_seq", position_chunk("bar_seq", chunk_rows).alias("chunk"),
+                       *[exact(c).alias(f"_x_{n}") for n, c in terms.items()])
+    # Both frames are narrow, one row per bar, and read twice; recomputing them costs more.
+    sums = materialize(running_sums(materialize(base), {f"_s_{n}": F.col(f"_x_{n}") for n in terms}, ["bar_seq"]))
     before = sums.select("symbol", F.col("bar_seq").alias("t0_seq"),
                          *[(F.col(f"_s_{n}") - F.col(f"_x_{n}")).alias(f"_a_{n}") for n in terms])
     upto = sums.select("symbol", F.col("bar_seq").alias("t1_seq"),
@@ -101,12 +103,12 @@ def ordered_spans(spans: DataFrame, chunk_rows: int | None = None) -> DataFrame:
 
 def normalize_weights(spans: DataFrame, weight: str, name: str, chunk_rows: int | None = None) -> DataFrame:
     """Add ``name``: the weight scaled so that each symbol's weights sum to their number."""
-    chunked = ordered_spans(spans, chunk_rows)
-    totals = chunked.groupBy("symbol").agg(F.sum(exact(F.col(weight))).cast("double").alias("_total"),
-                                           F.count("*").alias("_n"))
-    scaled = F.when(F.col("_total") == 0, F.col(weight)).otherwise(
-        F.col(weight) * F.try_divide(F.col("_n"), F.col("_total")))
-    return spread_join(chunked, totals).withColumn(name, scaled).drop("_total", "_n")
+    measured = exact(F.coalesce(F.col(weight), F.lit(0.0)))
+    summed = running_sums(ordered_spans(spans, chunk_rows), {}, ["pos"],
+                          {"_total": measured, "_n": F.lit(1).cast("long")})
+    total = F.col("_total").cast("double")
+    scaled = F.when(total == 0, F.col(weight)).otherwise(F.col(weight) * F.try_divide(F.col("_n"), total))
+    return summed.withColumn(name, scaled).drop("_total", "_n")
 
 
 def time_decay(spans: DataFrame, decay_c: float, chunk_rows: int | None = None) -> DataFrame:
@@ -115,17 +117,15 @@ def time_decay(spans: DataFrame, decay_c: float, chunk_rows: int | None = None)
     c >= 0: the line runs from c at zero uniqueness to 1. c < 0: the oldest share is cut to 0. At
     c = -1 the line is undefined and the factor is NULL. Equal starts are ordered by event_id.
     """
-    chunked = ordered_spans(spans, chunk_rows)
-    summed = running_sums(chunked, {"_cum": exact(F.col("avg_uniqueness"))}, ["pos"])
-    totals = chunked.groupBy("symbol").agg(
-        F.sum(exact(F.col("avg_uniqueness"))).cast("double").alias("_total"))
-    total, cum = F.col("_total"), F.col("_cum").cast("double")
+    measured = exact(F.col("avg_uniqueness"))
+    summed = running_sums(ordered_spans(spans, chunk_rows), {"_cum": measured}, ["pos"], {"_total": measured})
+    total, cum = F.col("_total").cast("double"), F.col("_cum").cast("double")
     if decay_c >= 0:
         slope = F.try_divide(F.lit(1.0 - decay_c), total)
     else:
         slope = F.try_divide(F.lit(1.0), F.lit(decay_c + 1.0) * total)
     line = 1 - slope * total + slope * cum
-    return spread_join(summed, totals).withColumn(
+    return summed.withColumn(
         "decay", F.when(line < 0, 0.0).otherwise(line)).drop("_cum", "_total")
 
 

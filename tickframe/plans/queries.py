@@ -91,7 +91,7 @@ def _label_spans(spark, sf_dir):
 
 def _order_spans(spark, sf_dir):
     series = materialize(adapters.order_series(spark, sf_dir))
-    return series, materialize(adapters.order_spans(series))
+    return series, adapters.order_spans(series)
 
 
 def _candles(spark, sf_dir):
@@ -243,14 +243,15 @@ def return_attribution(spark, sf_dir):
     series, spans = _order_spans(spark, sf_dir)
     grid = volatility.with_log_returns(series.select("symbol", "bar_seq", "close")).drop("chunk")
     counted = weight_ops.concurrency(grid.select("symbol", "bar_seq", "log_diff"), spans)
-    return weight_ops.normalize_weights(weight_ops.return_attribution(counted, spans), "attribution", "norm")
+    attributed = materialize(weight_ops.return_attribution(counted, spans))
+    return weight_ops.normalize_weights(attributed, "attribution", "norm")
 
 
 @query("symbol:s event_id:i decay:f", _result(sql.ORDER_SPANS + sql.MEASURED, "SELECT * FROM decayed"))
 def time_decay(spark, sf_dir):
     series, spans = _order_spans(spark, sf_dir)
     counted = weight_ops.concurrency(series.select("symbol", "bar_seq"), spans)
-    return weight_ops.time_decay(weight_ops.average_uniqueness(counted, spans), WEIGHTING.decay_c)
+    return weight_ops.time_decay(materialize(weight_ops.average_uniqueness(counted, spans)), WEIGHTING.decay_c)
 
 
 @query("symbol:s t0_seq:i t1_seq:i avg_uniqueness:f weight:f", _result(

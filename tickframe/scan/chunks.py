@@ -39,7 +39,7 @@ def chunk_bits(rows: int, chunk_rows: int | None = None) -> int:
 
 
 def ordered_chunks(df: DataFrame, order: list[str], chunk_rows: int | None = None,
-                   rows: int | None = None) -> DataFrame:
+                   rows: int | None = None, reread: bool = True) -> DataFrame:
     """Sort by (symbol, order...) and add ``pos`` and ``chunk``.
 
     ``pos`` increases along (symbol, order...) over the whole frame, with gaps between
@@ -48,7 +48,8 @@ def ordered_chunks(df: DataFrame, order: list[str], chunk_rows: int | None = Non
     (symbol, order...) must be a total order. The result is materialized, because the range
     bounds are sampled and must be the same for every later reader. Sampling reads the input once
     more, so call this on stored or materialized rows; ``rows`` saves a count where it is known. A
-    frame that fits in one chunk is sorted without sampling and has chunk 0 only.
+    frame that fits in one chunk is sorted without sampling and has chunk 0 only; with
+    ``reread=False`` it is not materialized, for callers that read it once.
     """
     rows = df.count() if rows is None else rows
     bits = chunk_bits(rows, chunk_rows)
@@ -65,7 +66,7 @@ def ordered_chunks(df: DataFrame, order: list[str], chunk_rows: int | None = Non
         .withColumn("pos", F.monotonically_increasing_id())
         .withColumn("chunk", F.shiftright("pos", bits))
     )
-    return materialize(ordered)
+    return materialize(ordered) if reread or partitions > 1 else ordered
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:

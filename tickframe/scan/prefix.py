@@ -18,11 +18,13 @@ def exact(column: Column) -> Column:
     return column.cast(EXACT)
 
 
-def running_sums(df: DataFrame, sums: dict[str, Column], order: list[str]) -> DataFrame:
+def running_sums(df: DataFrame, sums: dict[str, Column], order: list[str],
+                 totals: dict[str, Column] | None = None) -> DataFrame:
     """Add inclusive running sums over each symbol, for a frame with a ``chunk`` column.
 
-    The windows see one chunk each. The second level sees one row per chunk, i.e. the row count
-    divided by the chunk size.
+    ``totals`` adds sums over the whole symbol in the same pass. The windows over rows see one chunk
+    each; the second level sees one row per chunk, i.e. the row count divided by the chunk size. The
+    frame is read twice, so pass a materialized or stored one.
     """
     upto = (
         Window.partitionBy("symbol", "chunk").orderBy(*order)
@@ -31,26 +33,32 @@ def running_sums(df: DataFrame, sums: dict[str, Column], order: list[str]) -> Da
     earlier = (
         Window.partitionBy("symbol").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
-    totals = df.groupBy("symbol", "chunk").agg(
-        *[F.sum(column).alias(f"__off_{name}") for name, column in sums.items()]
+    whole = Window.partitionBy("symbol")
+    totals = totals or {}
+    per_chunk = df.groupBy("symbol", "chunk").agg(
+        *[F.sum(column).alias(f"__off_{name}") for name, column in {**sums, **totals}.items()]
     )
-    offsets = totals.select(
-        "symbol", "chunk", *[F.sum(f"__off_{name}").over(earlier).alias(f"__off_{name}") for name in sums]
+    offsets = per_chunk.select(
+        "symbol", "chunk",
+        *[F.sum(f"__off_{name}").over(earlier).alias(f"__off_{name}") for name in sums],
+        *[F.sum(f"__off_{name}").over(whole).alias(name) for name in totals],
     )
     local = df.select("*", *[F.sum(column).over(upto).alias(name) for name, column in sums.items()])
     joined = local.join(offsets, ["symbol", "chunk"])
     for name in sums:
-        left, right = F.col(name), F.col(f"__off_{name}")
-        if isinstance(local.schema[name].dataType, T.DecimalType):
-            left, right = left.cast(_WIDE), right.cast(_WIDE)
-        joined = joined.withColumn(name, F.coalesce(left, F.lit(0).cast(local.schema[name].dataType))
-                                   + F.coalesce(right, F.lit(0).cast(local.schema[name].dataType)))
+        kind = local.schema[name].dataType
+        zero = F.lit(0).cast(kind)
+        wide = _WIDE if isinstance(kind, T.DecimalType) else kind
+        joined = joined.withColumn(name, F.coalesce(F.col(name), zero).cast(wide)
+                                   + F.coalesce(F.col(f"__off_{name}"), zero).cast(wide))
     return joined.drop(*[f"__off_{name}" for name in sums])
 
 
-def dense_position(df: DataFrame, name: str) -> DataFrame:
-    """0-based position within the symbol, for a frame from ``ordered_chunks``."""
-    counted = running_sums(df, {name: F.lit(1).cast("long")}, ["pos"])
+def dense_position(df: DataFrame, name: str, size: str | None = None) -> DataFrame:
+    """0-based position within the symbol, and optionally the symbol's row count, for a frame from
+    ``ordered_chunks``."""
+    one = F.lit(1).cast("long")
+    counted = running_sums(df, {name: one}, ["pos"], {size: one} if size else None)
     return counted.withColumn(name, F.col(name) - 1)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.scan.chunks import ordered_chunks, spread_join
+from tickframe.scan.chunks import ordered_chunks
 from tickframe.scan.prefix import dense_position
 from tickframe.sources.trades import read_events
 
@@ -83,7 +83,7 @@ def order_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("event_id"), F.col("o_totalprice").alias("close"),
         F.pmod("o_custkey", F.lit(20)).alias("width"),
     )
-    return dense_position(ordered_chunks(orders, ["bar_end_ts", "event_id"]), "bar_seq")
+    return dense_position(ordered_chunks(orders, ["bar_end_ts", "event_id"]), "bar_seq", "n")
 
 
 def order_spans(series: DataFrame) -> DataFrame:
@@ -91,11 +91,9 @@ def order_spans(series: DataFrame) -> DataFrame:
 
     Spans start where the series' rows are, so they keep its order columns.
     """
-    sizes = series.groupBy("symbol").agg(F.max("bar_seq").alias("_last"))
-    return spread_join(series, sizes).select(
+    return series.select(
         "symbol", "event_id", F.col("bar_seq").alias("t0_seq"),
-        F.least(F.col("bar_seq") + F.col("width"), F.col("_last")).alias("t1_seq"),
-        "pos", "chunk",
+        F.least(F.col("bar_seq") + F.col("width"), F.col("n") - 1).alias("t1_seq"), "pos", "chunk",
     )
 
 
