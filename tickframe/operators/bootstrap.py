@@ -39,7 +39,7 @@ def sequential_bootstrap(spans: DataFrame, seeds: list[int], draws: int | None =
     copies = spans.select("symbol", "event_id", "t0_seq", "t1_seq", replicates)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t0_seq", "event_id"])
+        frame = frame.sort_values("event_id")
         count = len(frame) if draws is None else draws
         picks = _draw(frame.t0_seq.to_numpy(), frame.t1_seq.to_numpy(), count, int(frame.replicate.iloc[0]))
         return pd.DataFrame({
