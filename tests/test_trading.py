@@ -16,6 +16,11 @@ from tickframe.schema import CANDLES
 D = Decimal
 
 
+def choppy_fall(n):
+    """Falls by 20 every two candles with swings of about 100, so that RSI stays moderate."""
+    return [42000 - 10 * i + (100 if i % 2 else 0) for i in range(n)]
+
+
 @pytest.fixture(scope="session")
 def candles_of(spark):
     def build(series):
@@ -94,14 +99,14 @@ def test_price_levels(spark):
 
 
 def test_gate_needs_history_crossover_and_volume(candles_of):
-    down_then_up = [42000 - 10 * i for i in range(45)] + [(42600, 150)]
-    quiet = [42000 - 10 * i for i in range(45)] + [(42600, 100)]
-    short_history = [42000 - 10 * i for i in range(25)] + [(42600, 150)]
-    frame = candles_of({"go": down_then_up, "quiet": quiet, "short": short_history, "flat": [42000] * 50})
+    jump = choppy_fall(45)[-1] + 750
+    quiet = choppy_fall(45) + [(jump, 100)]
+    short_history = choppy_fall(25) + [(jump + 200, 150)]
+    frame = candles_of({"go": choppy_fall(45) + [(jump, 150)], "quiet": quiet, "short": short_history, "flat": [42000] * 50})
     found = latest_signals(frame).collect()
     assert [(r.symbol, r.direction) for r in found] == [("go", "long")]
     signal = found[0]
-    assert signal.stop_loss == 42000 - 440 - 50
+    assert signal.stop_loss == 42000 - 440 - 50 and signal.risk_reward == 2
     assert signal.take_profit == signal.entry_price + 2 * (signal.entry_price - signal.stop_loss)
     everywhere = signals(with_indicators(number_candles(frame))).collect()
     assert [r.symbol for r in everywhere] == ["go"]
@@ -174,7 +179,7 @@ def test_kill_switch_and_view(spark):
 
 
 def test_audit_has_one_row_per_symbol(spark, candles_of):
-    go = [42000 - 10 * i for i in range(45)] + [(42600, 150)]
+    go = choppy_fall(45) + [(choppy_fall(45)[-1] + 750, 150)]
     frame = candles_of({"go": go, "flat": [42000] * 50, "broken": [42000] * 39 + [None]})
     symbols = spark.createDataFrame([("go",), ("flat",), ("broken",), ("absent",)], "symbol string")
     rows = {r.symbol: r for r in audit(frame, symbols, STATE).collect()}

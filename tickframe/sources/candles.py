@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.functions.validate import require
 from tickframe.schema import CANDLES, PRICE
+from tickframe.session import materialize
 
 # Defaults of the feed (fixed values).
 SYMBOLS = ("BTC/USD", "ETH/USD")
@@ -91,13 +92,13 @@ def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
 def store_candles(incoming: DataFrame, path: str) -> int:
     """Append the candles not stored yet and return how many were; safe to repeat."""
     spark = incoming.sparkSession
-    fresh = new_candles(incoming, read_candles(spark, path))
-    counted = Observation()
-    (
-        fresh.observe(counted, F.count(F.lit(1)).alias("inserted"))
-        .write.mode("append").partitionBy("symbol", "timeframe").parquet(path)
-    )
-    return counted.get["inserted"]
+    fresh = materialize(new_candles(incoming, read_candles(spark, path)))
+    # Counted on the materialized rows: in Spark 4.1 an Observation in the session makes the models of
+    # pyspark.ml unserializable afterwards.
+    inserted = fresh.count()
+    if inserted:
+        fresh.write.mode("append").partitionBy("symbol", "timeframe").parquet(path)
+    return inserted
 
 
 def history_window(until: datetime, months: int = 6) -> tuple[datetime, datetime]:
