@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,12 @@ def dollar_volume(price="price", amount="amount") -> Column:
     return _c(price) * _c(amount)
 
 
+def time_order(ts="ts", seq="seq") -> Column:
+    """(ts, seq) as one number, so that min_by and max_by stay hash aggregates; seq is not negative."""
+    micros = F.unix_micros(_c(ts)).cast("decimal(18,0)")
+    return micros * F.lit(Decimal(10 ** 19)) + _c(seq).cast("decimal(19,0)")
+
+
 def oriented_return(start, end, side) -> Column:
     """Simple (not log) return in the direction of the bet."""
     return (_c(end) / _c(start) - 1) * _c(side)

@@ -129,11 +129,14 @@ def assign_bars(trades: DataFrame, threshold, chunk_rows: int | None = None,
     if single and initial is None:
         placed = valued.withColumns({"entry": zero, "before": F.lit(0).cast("long")})
     else:
-        pieces = map_slices(
-            valued.select("symbol", "chunk", "whole", "frac"),
-            lambda table: _bar_map(table, limit), piece_schema(UNITS_TYPE),
-        )
-        entries = resolve_entries(pieces, initial, UNITS_TYPE)
+        if single:  # every symbol has one slice, which starts from what was open before
+            entries = initial.withColumn("chunk", F.lit(0).cast("long"))
+        else:
+            pieces = map_slices(
+                valued.select("symbol", "chunk", "whole", "frac"),
+                lambda table: _bar_map(table, limit), piece_schema(UNITS_TYPE), edges_only=initial is None,
+            )
+            entries = resolve_entries(pieces, initial, UNITS_TYPE)
         if initial is None:
             # A slice with anything before it is the first slice of its chunk, so what is left
             # here has at most one row per chunk and the chunk count is bounded by MAX_CHUNKS.

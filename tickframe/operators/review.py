@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tickframe.functions.exprs import day_key
 from tickframe.scan.chunks import ordered_chunks, spread_join
 from tickframe.scan.prefix import running_sums
+from tickframe.session import materialize
 
 # Review constants (fixed values).
 OVERRIDE_CONFIDENCE = 0.70
@@ -112,7 +113,8 @@ def _history_counts(decisions: DataFrame, windows: dict[str, int], chunk_rows: i
         F.explode(F.array_compact(F.array(row, *asked))).alias("p"),
     ).select(F.lit("all").alias("symbol"), "signal_id", "at", "p.*", (F.col("_o") * F.col("p.is_row")).alias("_o"))
     # Questions sort before rows of the same instant, so they count strictly earlier rows.
-    chunked = ordered_chunks(points, ["us", "is_row", "signal_id", "ask"], chunk_rows)
+    rows = decisions.count() * (2 + len(windows))  # at most; spares evaluating the points to size them
+    chunked = ordered_chunks(points, ["us", "is_row", "signal_id", "ask"], chunk_rows, rows)
     summed = running_sums(chunked, {"n": F.col("is_row").cast("long"), "o": F.col("_o")}, ["pos"])
     names = ["_now", *windows]
     return summed.filter("is_row = 0").groupBy("signal_id").agg(
@@ -130,9 +132,9 @@ def snapshot_metrics(decisions: DataFrame, chunk_rows: int | None = None) -> Dat
     and the parts of the first and the current day, which are differences of running counts.
     """
     day = F.datediff(day_key("at"), F.lit("1970-01-01").cast("date"))
-    counted = _history_counts(
+    counted = materialize(_history_counts(
         decisions, {"_session": SESSION_HOURS * 3600, "_history": HISTORY_DAYS * 86400}, chunk_rows
-    ).withColumn("day", day)
+    ).withColumn("day", day))
     full = HISTORY_DAYS - 1
     decided = F.col("decided_at").isNotNull()
     days = decisions.groupBy(day.alias("day")).agg(
@@ -183,8 +185,12 @@ def resolve_approvals(signals: DataFrame, responses: DataFrame, seconds: int = A
     waited = F.unix_micros("responded_at") - F.unix_micros("sent_at")
     valid = responses.filter(F.col("response").isin("approve", "cancel"))
     in_time = (waited >= 0) & (waited < seconds * 1_000_000)
-    first = signals.select("signal_id", "sent_at").join(valid, "signal_id").filter(in_time).groupBy("signal_id").agg(
-        F.min(F.struct("responded_at", "response")).alias("_r")
-    ).select("signal_id", F.col("_r.response").alias("decision"), F.col("_r.responded_at").alias("decided_at"))
-    return signals.join(first, "signal_id", "left").withColumn(
-        "decision", F.coalesce("decision", F.lit("timeout")))
+    # The instant with the answer in its last bit: one long to minimize, the earlier answer first.
+    code = F.unix_micros("responded_at") * 2 + (F.col("response") == "cancel").cast("long")
+    first = signals.select("signal_id", "sent_at").join(valid, "signal_id").filter(in_time).groupBy(
+        "signal_id").agg(F.min(code).alias("_code"))
+    decision = F.when(F.pmod("_code", F.lit(2)) == 1, "cancel").otherwise("approve")
+    return signals.join(first, "signal_id", "left").withColumns({
+        "decision": F.when(F.col("_code").isNull(), "timeout").otherwise(decision),
+        "decided_at": F.timestamp_micros(F.shiftright("_code", 1)),
+    }).drop("_code")

@@ -69,42 +69,54 @@ def ordered_chunks(df: DataFrame, order: list[str], chunk_rows: int | None = Non
     return materialize(ordered) if reread or partitions > 1 else ordered
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str,
+               edges_only: bool = False) -> DataFrame:
     """Apply ``fn`` to every (symbol, chunk) slice of an :func:`ordered_chunks` frame in place.
 
-    Slices are contiguous within a partition, so no shuffle or sort is planned.
+    Slices are contiguous within a partition, so no shuffle or sort is planned. ``edges_only`` skips
+    slices that are neither the first nor the last of their chunk: their series lies inside the chunk.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _slices(batches):
-            yield from fn(table).to_batches()
+        for table, at_edge in _slices(batches):
+            if at_edge or not edges_only:
+                yield from fn(table).to_batches()
 
     return df.mapInArrow(run, schema)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    held: list[pa.Table] = []
-    current = None
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of equal ((symbol, chunk), rows) in every batch."""
     for batch in batches:
-        if not batch.num_rows:
+        rows = batch.num_rows
+        if not rows:
             continue
         table = pa.Table.from_batches([batch])
         symbol, chunk = table["symbol"].combine_chunks(), table["chunk"].combine_chunks()
-        rows = table.num_rows
         moved = pc.or_(
             pc.not_equal(symbol.slice(1), symbol.slice(0, rows - 1)),
             pc.not_equal(chunk.slice(1), chunk.slice(0, rows - 1)),
         )
         cuts = [0, *(pc.add(pc.indices_nonzero(moved), 1).to_pylist()), rows]
         for start, stop in zip(cuts, cuts[1:]):
-            head = (symbol[start].as_py(), chunk[start].as_py())
-            if held and head != current:
-                yield pa.concat_tables(held)
-                held = []
-            current = head
-            held.append(table.slice(start, stop - start))
+            yield (symbol[start].as_py(), chunk[start].as_py()), table.slice(start, stop - start)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
+    """(slice, whether it is the first or last slice of its chunk)."""
+    before = None
+    held: tuple[tuple, list[pa.Table]] | None = None
+    for head, rows in _pieces(batches):
+        if held and held[0] == head:
+            held[1].append(rows)
+            continue
+        if held:
+            chunk = held[0][1]
+            yield pa.concat_tables(held[1]), chunk != before or chunk != head[1]
+            before = chunk
+        held = (head, [rows])
     if held:
-        yield pa.concat_tables(held)
+        yield pa.concat_tables(held[1]), True
 
 
 def position_chunk(position: str | Column, chunk_rows: int | None = None) -> Column:

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickframe.functions.exprs import time_order
 from tickframe.functions.validate import require
 from tickframe.schema import CANDLES, PRICE
 from tickframe.session import materialize
@@ -33,11 +34,10 @@ def normalize_candles(raw: DataFrame) -> DataFrame:
 def first_seen(candles: DataFrame) -> DataFrame:
     """One candle per (symbol, timeframe, timestamp): the one with the lowest ``ingest_seq``.
 
-    A min_by aggregation rather than a window, so copies are dropped before the shuffle and a key
-    with very many copies stays cheap.
+    A min_by hash aggregation rather than a window, so copies are dropped before the shuffle and a
+    key with very many copies stays cheap.
     """
-    picked = F.min_by(F.struct(*_PRICES), "ingest_seq").alias("_c")
-    return candles.groupBy(*KEY).agg(picked).select(*KEY, "_c.*")
+    return candles.groupBy(*KEY).agg(*[F.min_by(c, "ingest_seq").alias(c) for c in _PRICES])
 
 
 def candle_range(candles: DataFrame, since, until) -> DataFrame:
@@ -66,9 +66,9 @@ def normalize_tickers(raw: DataFrame) -> DataFrame:
 
 def latest_tickers(tickers: DataFrame) -> DataFrame:
     """The newest snapshot of each symbol."""
-    fields = [c for c in tickers.columns if c != "symbol"]
-    newest = F.max_by(F.struct(*fields), "timestamp").alias("_t")
-    return tickers.groupBy("symbol").agg(newest).select("symbol", "_t.*")
+    fields = [c for c in tickers.columns if c not in ("symbol", "timestamp")]
+    return tickers.groupBy("symbol").agg(
+        *[F.max_by(c, "timestamp").alias(c) for c in fields], F.max("timestamp").alias("timestamp"))
 
 
 def new_candles(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def seed_report(candles: DataFrame) -> DataFrame:
 def candles_from_trades(trades: DataFrame, timeframe: str, seconds: int) -> DataFrame:
     """Time-bucketed candles of a trade feed."""
     bucket = F.timestamp_seconds(F.floor(F.unix_micros("ts") / (seconds * 1_000_000)) * seconds)
-    order = F.struct("ts", "seq")
+    order = time_order()
     return trades.groupBy("symbol", bucket.alias("timestamp")).agg(
         F.min_by("price", order).cast(PRICE).alias("open"),
         F.max("price").cast(PRICE).alias("high"),
