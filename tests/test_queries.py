@@ -35,7 +35,7 @@ def test_query_equals_check(spark, tables, name):
 
 def test_contract(spark):
     assert contract.entry(spark).count() > 0
-    assert set(contract.oracle_sql()) <= set(contract.queries()) == set(QUERIES)
+    assert set(contract.oracle_sql()) <= set(contract.queries()) >= set(QUERIES)
 
 
 def test_large_joins_are_keyed(spark, closes_frame, spans_frame):
