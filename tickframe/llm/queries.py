@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import rules, simhash
+from tickframe.llm import mixing, packing, passages, rules, simhash
 from tickframe.llm.common import saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,48 @@ def query(build):
     return build
 
 
+@query
+def op1_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query
+def op3_mixing(spark, sf_dir):
+    mix = mixing.mixture(table(spark, sf_dir, "documents"))
+    return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+ORACLES["op3_mixing"] = f"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+    greatest(0.05, coalesce(length(regexp_replace(text, '[^\\p{{L}}]+', '', 'g'))
+      / nullif(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')), 0), 0.0)) AS quality,
+    CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS drawn
+  FROM documents),
+k AS (SELECT *, -ln((drawn + 0.5) / 281474976710656.0::DOUBLE) / quality AS key FROM d),
+s AS (
+  SELECT source, sum(size) AS source_size,
+    [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+f AS (
+  SELECT *, (1.5 * sum(source_size) OVER ()
+      - coalesce(sum(2 * source_size) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s WINDOW r AS (ORDER BY source_size / weight, source IS NULL, source)),
+g AS (SELECT *, (SELECT level FROM f WHERE level * weight < 2 * source_size
+        ORDER BY source_size / weight, source IS NULL, source LIMIT 1) AS stop FROM f),
+t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size,
+        CAST(least(coalesce(stop, 1e300) * weight, 2 * source_size) AS DOUBLE) AS target FROM g),
+p AS (
+  SELECT k.doc_id, k.size, t.source_size, t.target,
+    CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS epochs,
+    coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(size * (epochs + CASE WHEN target - epochs * source_size > 0
+    AND 2 * ahead + size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p"""
+
+
 @query
 def op4_simhash(spark, sf_dir):
     prints = saved(simhash.fingerprints(table(spark, sf_dir, "documents"), ["doc_id"]), "prints")
@@ -26,6 +68,12 @@ def op4_simhash(spark, sf_dir):
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op7_substring_dedup(spark, sf_dir):
+    clean = passages.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", "text", F.col("_llm_removed").alias("removed"), F.col("_llm_n_removed").alias("n_removed_units"))
+
+
 @query
 def op10_quality_rules(spark, sf_dir):
     verdicts = rules.quality_verdicts(table(spark, sf_dir, "documents"), ["doc_id"])

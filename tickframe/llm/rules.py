@@ -149,3 +149,9 @@ def judged(features: DataFrame) -> DataFrame:
 def quality_verdicts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of every document with the counts, votes, p_good, base_failed and kept."""
     return judged(saved(rule_features(docs, keep, text), "rules"))
+
+
+def good_only(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without those that the base test or the rules reject."""
+    rows = docs.select(F.struct(*docs.columns).alias("_llm_row"), F.col(text).alias("_llm_body"))
+    return quality_verdicts(rows, ["_llm_row"], "_llm_body").filter("kept").select("_llm_row.*")

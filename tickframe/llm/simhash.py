@@ -247,17 +247,30 @@ def near_links(nodes: DataFrame, n: int, bits: int, words: int = 1) -> DataFrame
 
 
 def near_groups(prints: DataFrame, doc_id: str, bits: int, words: int = 1) -> DataFrame:
-    """``prints`` (saved; the id and fp0, ...) with component_id, the smallest id that links reach; ids that are null
-    count only where a component has no other."""
+    """``prints`` (saved; the id and fp0, ...) with _llm_root, which names the component, and component_id, the
+    smallest id in it; null ids count only where a component has no other."""
     fps = [f"fp{k}" for k in range(words)]
-    classes = saved(
-        prints.groupBy(*fps).agg(F.min(doc_id).alias("_llm_least"), F.count("*").alias("_llm_copies"))
-        .withColumn("node", F.col("fp0") if words == 1 else F.xxhash64(*fps)), "classes")
+    node = F.col("fp0") if words == 1 else F.xxhash64(*fps)
+    classes = saved(prints.groupBy(*fps).agg(F.min(doc_id).alias("_llm_least"), F.count("*").alias("_llm_copies"))
+                    .withColumn("node", node), "classes")
     count, total = classes.agg(F.count("*"), F.coalesce(F.sum("_llm_copies"), F.lit(0))).first()
     roots = components(near_links(classes.select("node", *fps), count, bits, words))
-    placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = saved(placed, "placed")
+    placed = saved(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     least = placed.groupBy("root").agg(F.min("_llm_least").alias("component_id"), F.count("*").alias("_llm_n"))
-    labelled = join_facts(placed, least, "root", "_llm_n", count).select("node", "component_id", "_llm_copies")
-    return join_facts(prints.withColumn("node", F.col("fp0") if words == 1 else F.xxhash64(*fps)), saved(labelled, "labels"),
-                      "node", "_llm_copies", total).drop("node")
+    labelled = saved(join_facts(placed, saved(least, "least"), "root", "_llm_n", count).select(
+        "node", F.col("root").alias("_llm_root"), "component_id", "_llm_copies"), "labels")
+    return join_facts(prints.withColumn("node", node), labelled, "node", "_llm_copies", total).drop("node")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, bits: int = 8,
+                words: int = 2) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: the one of the smallest id (nulls last), then of
+    the smallest text hash. Two fingerprint words of the same shingles raise the share of similar pairs that are
+    found without a wider budget. Rows equal in id and text are copies, so one of them stays."""
+    keyed = docs.withColumn("_llm_tie", F.xxhash64(text))
+    prints = saved(fingerprints(keyed.withColumn("_llm_id", F.col(doc_id)), ["_llm_id", "_llm_tie"], shingle, words, text), "prints")
+    first = F.min(F.struct(F.col("_llm_id").isNull().alias("none"), F.col("_llm_id").alias("id"), F.col("_llm_tie").alias("tie")))
+    chosen = saved(near_groups(prints, "_llm_id", bits, words).groupBy("_llm_root").agg(first.alias("first")).select(
+        F.col("first.id").alias("_llm_first"), F.col("first.tie").alias("_llm_first_tie")), "chosen")
+    stay = keyed.join(chosen, F.col(doc_id).eqNullSafe(F.col("_llm_first")) & (F.col("_llm_tie") == F.col("_llm_first_tie")), "left_semi")
+    return stay.dropDuplicates([doc_id, "_llm_tie"]).select(*docs.columns)
