@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import mixing, packing, passages, rules, simhash
+from tickframe.llm import htmltext, merkle, mixing, packing, passages, rules, simhash
 from tickframe.llm.common import saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,17 @@ def op4_simhash(spark, sf_dir):
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_html_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.extract(pages, ["page_id", "url"], htmltext.train(htmltext.sample_pages(pages, "page_id", "html")))
+
+
+@query
+def op6_merkle(spark, sf_dir):
+    return merkle.fingerprinted(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op7_substring_dedup(spark, sf_dir):
     clean = passages.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
