@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import htmltext, merkle, mixing, packing, passages, rules, simhash
-from tickframe.llm.common import saved, table
+from tickframe.llm import hostquality, htmltext, langid, merkle, mixing, packing, passages, rules, simhash
+from tickframe.llm.common import crc_bucket, saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,12 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+@query
+def op2_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_bucket(F.col("doc_id"), 4) == 2)
+    return langid.predict(docs, ["doc_id", "held_out"], langid.train(docs, ~F.col("held_out")))
+
+
 @query
 def op3_mixing(spark, sf_dir):
     mix = mixing.mixture(table(spark, sf_dir, "documents"))
@@ -85,6 +91,13 @@ def op7_substring_dedup(spark, sf_dir):
     return clean.select("doc_id", "text", F.col("_llm_removed").alias("removed"), F.col("_llm_n_removed").alias("n_removed_units"))
 
 
+@query
+def op9_host_quality(spark, sf_dir):
+    judged = hostquality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(F.col("id").alias("doc_id"), *[F.round(c, 6).alias(c) for c in (
+        "host_rate", "path_rate", "evidence", "p_quality")], "kept")
+
+
 @query
 def op10_quality_rules(spark, sf_dir):
     verdicts = rules.quality_verdicts(table(spark, sf_dir, "documents"), ["doc_id"])
