@@ -43,7 +43,9 @@ def buckets_of(text: str | None) -> np.ndarray:
     if not letter.any():
         return np.empty(0, np.int64)
     codes = np.where(letter, codes, 32)
-    codes = np.concatenate(([32], codes[letter | np.concatenate(([True], letter[:-1]))], [32])).astype(np.uint64)
+    # one space for each run of anything else, none at the ends
+    codes = codes[letter | np.concatenate(([False], letter[:-1]))]
+    codes = np.concatenate(([32], codes[:-1] if codes[-1] == 32 else codes, [32])).astype(np.uint64)
     grams = [codes]
     for n in (2, 3):
         if len(codes) >= n:

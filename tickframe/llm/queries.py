@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import hostquality, htmltext, langid, merkle, mixing, packing, passages, rules, simhash
+from tickframe.llm import hostquality, htmltext, langid, lm, merkle, mixing, packing, passages, rules, simhash
 from tickframe.llm.common import crc_bucket, saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,12 @@ def op7_substring_dedup(spark, sf_dir):
     return clean.select("doc_id", "text", F.col("_llm_removed").alias("removed"), F.col("_llm_n_removed").alias("n_removed_units"))
 
 
+@query
+def op8_lm_scores(spark, sf_dir):
+    held_out = crc_bucket(F.col("doc_id"), 10) == 0
+    return lm.scored(table(spark, sf_dir, "documents"), held_out).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op9_host_quality(spark, sf_dir):
     judged = hostquality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
