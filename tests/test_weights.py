@@ -31,7 +31,9 @@ def test_unresolved_or_off_grid_spans_fail(spark, closes_frame, spans_frame):
     open_span = spark.createDataFrame([("s", 0, 1, None)], "symbol string, event_id long, t0_seq long, t1_seq long")
     with pytest.raises(Exception, match="must be resolved"):
         concurrency(grid_of(closes_frame, 5), open_span).collect()
-    counted = concurrency(grid_of(closes_frame, 5), spans_frame([(1, 9)]))
+    with pytest.raises(Exception, match="bars of the grid"):
+        concurrency(grid_of(closes_frame, 5), spans_frame([(1, 9)])).collect()
+    counted = concurrency(grid_of(closes_frame, 5), spans_frame([(1, 3)]))
     with pytest.raises(Exception, match="bars of the grid"):
         average_uniqueness(counted, spans_frame([(1, 9)])).collect()
 

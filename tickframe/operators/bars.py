@@ -113,9 +113,7 @@ def assign_bars(trades: DataFrame, threshold, chunk_rows: int | None = None,
     if limit <= 0:
         raise ValueError(f"threshold must be positive, got {threshold!r}")
     rows = trades.count()
-    single = rows <= 1 << chunk_bits(rows, chunk_rows)
-    chunked = ordered_chunks(trades.select("symbol", "ts", "seq", "price", "amount"),
-                             ["ts", "seq"], chunk_rows, rows, reread=not single or open_bars is not None)
+    chunked = ordered_chunks(trades.select("symbol", "ts", "seq", "price", "amount"), ["ts", "seq"], chunk_rows, rows)
     value = F.col("price") * F.col("amount")
     whole = F.floor(value).cast("long")
     valued = chunked.withColumn("whole", whole).withColumn(
@@ -126,34 +124,27 @@ def assign_bars(trades: DataFrame, threshold, chunk_rows: int | None = None,
         "symbol", (F.col("dollar_volume") * F.lit(UNIT).cast("decimal(17,0)")).cast(UNITS_TYPE).alias("entry"),
         F.col("bar_seq").alias("before"),
     )
-    if single and initial is None:
-        placed = valued.withColumns({"entry": zero, "before": F.lit(0).cast("long")})
+    pieces = map_slices(
+        valued.select("symbol", "chunk", "whole", "frac"),
+        lambda table: _bar_map(table, limit), piece_schema(UNITS_TYPE), edges_only=initial is None,
+    )
+    entries = resolve_entries(pieces, initial, UNITS_TYPE)
+    if initial is None:
+        # A slice with anything before it is the first slice of its chunk, so what is left here has at most one row per
+        # chunk and the chunk count is bounded by MAX_CHUNKS.
+        first = entries.groupBy("symbol").agg(F.min("chunk").alias("first"))
+        entries = entries.join(first, "symbol").filter("chunk > first").drop("first")
+        bounded = True
+    else:
+        bounded = open_bars.count() <= MAX_CHUNKS
+    filled = {"entry": F.coalesce("entry", zero), "before": F.coalesce("before", F.lit(0).cast("long"))}
+    if bounded:
+        placed = valued.join(F.broadcast(entries), ["symbol", "chunk"], "left").withColumns(filled)
     else:
-        if single:  # every symbol has one slice, which starts from what was open before
-            entries = initial.withColumn("chunk", F.lit(0).cast("long"))
-        else:
-            pieces = map_slices(
-                valued.select("symbol", "chunk", "whole", "frac"),
-                lambda table: _bar_map(table, limit), piece_schema(UNITS_TYPE), edges_only=initial is None,
-            )
-            entries = resolve_entries(pieces, initial, UNITS_TYPE)
-        if initial is None:
-            # A slice with anything before it is the first slice of its chunk, so what is left
-            # here has at most one row per chunk and the chunk count is bounded by MAX_CHUNKS.
-            first = entries.groupBy("symbol").agg(F.min("chunk").alias("first"))
-            entries = entries.join(first, "symbol").filter("chunk > first").drop("first")
-            small = True
-        else:
-            small = open_bars.count() <= MAX_CHUNKS
-        filled = {"entry": F.coalesce("entry", zero),
-                  "before": F.coalesce("before", F.lit(0).cast("long"))}
-        if small:
-            placed = valued.join(F.broadcast(entries), ["symbol", "chunk"], "left").withColumns(filled)
-        else:
-            placed = (
-                valued.join(entries, ["symbol", "chunk"], "left").withColumns(filled)
-                .repartition("symbol", "chunk").sortWithinPartitions("symbol", "chunk", "pos")
-            )
+        placed = (
+            valued.join(entries, ["symbol", "chunk"], "left").withColumns(filled)
+            .repartition("symbol", "chunk").sortWithinPartitions("symbol", "chunk", "pos")
+        )
     return map_slices(
         placed.select("symbol", "chunk", "pos", "ts", "price", "amount", "whole", "frac", "entry", "before"),
         lambda table: _assign(table, limit),

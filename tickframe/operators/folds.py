@@ -16,8 +16,6 @@ from tickframe.scan.chunks import position_chunk, spread_join
 from tickframe.scan.prefix import dense_position, running_sums
 from tickframe.session import materialize
 
-MAX_GROUPS = 60  # block sets are bit masks in a long
-
 
 def _check_embargo(embargo_pct: float) -> None:
     if not 0 <= embargo_pct < 1:
@@ -37,14 +35,15 @@ def embargo_times(bars: DataFrame, embargo_pct: float, chunk_rows: int | None =
     _check_embargo(embargo_pct)
     grid = bars.select("symbol", "bar_seq", "bar_end_ts").withColumn(
         "chunk", position_chunk("bar_seq", chunk_rows))
-    target = F.least(F.col("bar_seq") + _embargo_step("n_bars", embargo_pct), F.col("n_bars") - 1)
-    ahead = grid.select("symbol", F.col("bar_seq").alias("embargo_seq"),
-                        F.col("bar_end_ts").alias("embargo_ts"))
-    return (
-        spread_join(grid, _grid_sizes(bars)).withColumn("embargo_seq", target)
-        .join(ahead, ["symbol", "embargo_seq"])
-        .select("symbol", "bar_seq", "bar_end_ts", "embargo_seq", "embargo_ts")
-    )
+    target = F.col("bar_seq") + _embargo_step("n_bars", embargo_pct)
+    ahead = grid.select("symbol", F.col("bar_seq").alias("_ahead"), F.col("bar_end_ts").alias("_ahead_ts"))
+    sizes = bars.groupBy("symbol").agg(F.count("*").alias("n_bars"), F.max_by("bar_end_ts", "bar_seq").alias("_last_ts"))
+    # Bars at the end all have the last bar ahead: its time comes with the size, and their own keys meet nothing.
+    placed = spread_join(grid, sizes).withColumn("_ahead", F.when(target < F.col("n_bars"), target).otherwise(-1 - F.col("bar_seq")))
+    return placed.join(ahead, ["symbol", "_ahead"], "left").select(
+        "symbol", "bar_seq", "bar_end_ts",
+        F.when(F.col("_ahead") < 0, F.col("n_bars") - 1).otherwise(F.col("_ahead")).alias("embargo_seq"),
+        F.when(F.col("_ahead") < 0, F.col("_last_ts")).otherwise(F.col("_ahead_ts")).alias("embargo_ts"))
 
 
 def purge(bars: DataFrame, spans: DataFrame, test_spans: DataFrame, chunk_rows: int | None = None) -> DataFrame:
@@ -103,27 +102,18 @@ def embargoed_blocks(tiled: DataFrame, bars: DataFrame, embargo_pct: float) -> D
 def _folds(spans: DataFrame, bars: DataFrame, groups: int, members: list[tuple[int, ...]],
            embargo_pct: float, chunk_rows: int | None) -> DataFrame:
     _check_embargo(embargo_pct)
-    if groups > MAX_GROUPS:
-        raise ValueError(f"at most {MAX_GROUPS} groups, got {groups}")
     tiled = materialize(tiles(spans, groups, chunk_rows))
     blocks = embargoed_blocks(tiled, bars, embargo_pct)
     # One array of at most ``groups`` blocks per symbol; each span is compared with it once, whatever
     # the number of folds.
     listed = blocks.groupBy("symbol").agg(F.collect_list(F.struct("tile", "i_seq", "j_seq")).alias("_blocks"))
-    touched = F.aggregate(
-        "_blocks", F.lit(0).cast("long"),
-        lambda mask, b: mask.bitwiseOR(F.when(
-            (F.col("t0_seq") <= b["j_seq"]) & (F.col("t1_seq") >= b["i_seq"]),
-            F.expr("1L") * F.pow(F.lit(2.0), b["tile"]).cast("long"),
-        ).otherwise(F.lit(0).cast("long"))),
-    )
+    touched = F.transform(
+        F.filter("_blocks", lambda b: (F.col("t0_seq") <= b["j_seq"]) & (F.col("t1_seq") >= b["i_seq"])), lambda b: b["tile"])
     folds = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("fold_id"), F.lit(sum(1 << g for g in combo)).cast("long").alias("mask"))
-        for k, combo in enumerate(members)
+        F.struct(F.lit(k).alias("fold_id"), F.array(*map(F.lit, combo)).alias("tiles")) for k, combo in enumerate(members)
     ]))
-    own = F.pow(F.lit(2.0), F.col("tile")).cast("long")
-    role = F.when(own.bitwiseAND(F.col("_f.mask")) != 0, "test").when(
-        F.col("_touched").bitwiseAND(F.col("_f.mask")) == 0, "train")
+    role = F.when(F.array_contains("_f.tiles", F.col("tile")), "test").when(
+        ~F.arrays_overlap("_touched", "_f.tiles"), "train")
     return (
         spread_join(tiled, listed).withColumn("_touched", touched).drop("_blocks")
         .withColumn("_f", folds).withColumn("role", role).filter("role IS NOT NULL")

@@ -137,8 +137,13 @@ def snapshot_metrics(decisions: DataFrame, chunk_rows: int | None = None) -> Dat
     ).withColumn("day", day))
     full = HISTORY_DAYS - 1
     decided = F.col("decided_at").isNotNull()
-    days = decisions.groupBy(day.alias("day")).agg(
-        F.count_if(decided).alias("n"), F.count_if(decided & F.col("is_override")).alias("o"))
+    # Rates belong to the day of the decision; days on which something was only asked have none.
+    of_decision = F.datediff(day_key("decided_at"), F.lit("1970-01-01").cast("date"))
+    none = F.lit(0).cast("long")
+    days = decisions.filter(decided).groupBy(of_decision.alias("day")).agg(
+        F.count("*").alias("n"), F.count_if("is_override").alias("o")).unionByName(
+        decisions.select(day.alias("day")).distinct().select("day", none.alias("n"), none.alias("o"))
+    ).groupBy("day").agg(F.sum("n").alias("n"), F.sum("o").alias("o"))
     # One row per calendar day.
     line = Window.partitionBy(F.lit(1)).orderBy("day")
     earlier, whole = line.rowsBetween(Window.unboundedPreceding, -1), line.rangeBetween(-full, -1)

@@ -75,6 +75,11 @@ def validate(signals: DataFrame) -> DataFrame:
     amount = F.col("total_capital") * F.lit(MAX_RISK_PER_TRADE)
     size = F.try_divide(amount, risk)
     needed = size * entry
+    # Compared without a division, so that no digit is lost at the edge.
+    beyond = F.coalesce(
+        amount.try_cast("decimal(19,4)") * entry.try_cast("decimal(18,8)")
+        > F.col("available_capital").try_cast("decimal(19,4)") * risk.try_cast("decimal(18,8)"),
+        needed > F.col("available_capital"))
     missing = _absent("entry_price") | _absent("stop_loss") | _absent("take_profit") | \
         F.col("direction").isNull() | (F.col("direction") == "")
     percent = lambda c: F.format_string("%.1f%%", c * 100)
@@ -91,7 +96,7 @@ def validate(signals: DataFrame) -> DataFrame:
         (risk == 0, INVALID_SIGNAL, F.lit("Entry price equals stop loss — invalid signal.")),
         (ratio < MIN_REWARD_RISK, INVALID_RISK_REWARD,
          F.concat(F.lit("Risk/reward ratio "), _money(ratio), F.lit(f" is below minimum {MIN_REWARD_RISK}."))),
-        (needed > F.col("available_capital"), INSUFFICIENT_CAPITAL,
+        (beyond, INSUFFICIENT_CAPITAL,
          F.concat(F.lit("Required capital $"), _money(needed), F.lit(" exceeds available $"),
                   _money(F.col("available_capital")), F.lit("."))),
     ]

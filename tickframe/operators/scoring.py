@@ -45,12 +45,17 @@ def estimator_predictor(estimator, features: str = "features", scoring: str = "n
     def predict(train: DataFrame, test: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
-        scored = estimator.fit(train).transform(test)
+        # The classes are those of the training rows, whatever their numbers; the estimator sees their places.
+        classes = [r["y"] for r in train.select("y").distinct().orderBy("y").collect()]
+        place = F.try_element_at(F.create_map(*[F.lit(x) for k, y in enumerate(classes) for x in (y, float(k))]), F.col("y"))
+        label = last.getLabelCol()
+        scored = estimator.fit(train.withColumn("_y", F.col("y")).withColumn(label, place)).transform(test)
         if scoring == "accuracy":
-            return scored
+            named = F.element_at(F.array(*map(F.lit, classes)), (F.col("prediction") + 1).cast("int"))
+            return scored.withColumn("prediction", named)
         probability = vector_to_array(last.getProbabilityCol())
         return scored.withColumn("p_y", F.coalesce(
-            F.try_element_at(probability, F.col("y").cast("int") + 1), F.lit(0.0)))
+            F.try_element_at(probability, (place + 1).cast("int")), F.lit(0.0)))
 
     return predict
 

@@ -21,7 +21,8 @@ def concurrency(grid: DataFrame, spans: DataFrame, chunk_rows: int | None = None
     """Grid rows with ``chunk`` and ``co_events``, the number of spans covering the bar.
 
     +1 where a span starts, -1 behind its end, then a running sum: spans are never expanded to the
-    bars they cover, and equal starts are summed before the join.
+    bars they cover, and equal starts are summed before the join. The job fails when a span starts or ends on a position
+    that is not a bar of the grid.
     """
     steps = (
         _checked(spans).select("symbol", F.explode(F.array(
@@ -34,7 +35,12 @@ def concurrency(grid: DataFrame, spans: DataFrame, chunk_rows: int | None = None
         "chunk", position_chunk("bar_seq", chunk_rows)
     )
     sums = {"co_events": F.coalesce("_step", F.lit(0).cast("long"))}
-    return running_sums(stepped, sums, ["bar_seq"]).drop("_step")
+    counted = running_sums(stepped, sums, ["bar_seq"]).drop("_step")
+    ends = spans.select("symbol", F.explode(F.array("t0_seq", "t1_seq")).alias("bar_seq")).filter("bar_seq IS NOT NULL").distinct()
+    outside = ends.join(grid.select("symbol", "bar_seq"), ["symbol", "bar_seq"], "left_anti")
+    error = F.raise_error(F.lit("spans must start and end on bars of the grid"))
+    return counted.unionByName(outside.select(*[
+        (error.cast("long") if f.name == "bar_seq" else F.lit(None)).cast(f.dataType).alias(f.name) for f in counted.schema]))
 
 
 def _over_span(grid: DataFrame, spans: DataFrame, terms: dict[str, Column],

@@ -1,7 +1,8 @@
 """Comparable result columns: one spec drives both the Spark frame and the check SQL.
 
 A spec is "name:kind ..." with kind s string, i integer, f float (6 decimals), e float (8 decimals), t timestamp
-(microseconds since the epoch), b boolean (0/1). NULL becomes '', -1 or 0.
+(microseconds since the epoch), b boolean (0/1). NULL becomes '', -1 or 0, and the text column ``nulls`` tells which of
+the columns, in the spec's order, were NULL.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ def _columns(spec: str) -> list[tuple[str, str]]:
 
 
 def shown(df: DataFrame, spec: str) -> DataFrame:
-    return df.select(*[_SPARK[kind](F.col(name)).alias(name) for name, kind in _columns(spec)])
+    flags = [F.when(F.col(name).isNull(), "1").otherwise("0") for name, _ in _columns(spec)]
+    return df.select(*[_SPARK[kind](F.col(name)).alias(name) for name, kind in _columns(spec)], F.concat(*flags).alias("nulls"))
 
 
 def shown_sql(body: str, spec: str) -> str:
     """``body`` is a WITH list that ends in a table named ``result``."""
     columns = ", ".join(f"{_SQL[kind].format(c=name)} AS {name}" for name, kind in _columns(spec))
-    return f"WITH RECURSIVE {body}\nSELECT {columns} FROM result"
+    flags = " || ".join(f"CASE WHEN result.{name} IS NULL THEN '1' ELSE '0' END" for name, _ in _columns(spec))
+    return f"WITH RECURSIVE {body}\nSELECT {columns}, {flags} AS nulls FROM result"

@@ -26,7 +26,7 @@ def audit(candles: DataFrame, symbols: DataFrame, state: SystemState, size: int
     fails its own symbol only.
     """
     good, bad = quarantine(candles, candle_rules())
-    failed = bad.groupBy("symbol").agg(F.first("broken_rules").alias("_rules"))
+    failed = bad.groupBy("symbol").agg(F.min("broken_rules").alias("_rules"))
     judged = validate(with_state(latest_signals(good, size), state))
     error = F.when(F.col("_rules").isNotNull(),
                    F.concat(F.lit("Candle fetch failed: "), F.array_join("_rules", ", ")))

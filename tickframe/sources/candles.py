@@ -37,7 +37,8 @@ def first_seen(candles: DataFrame) -> DataFrame:
     A min_by hash aggregation rather than a window, so copies are dropped before the shuffle and a
     key with very many copies stays cheap.
     """
-    return candles.groupBy(*KEY).agg(*[F.min_by(c, "ingest_seq").alias(c) for c in _PRICES])
+    earliest = F.min(F.struct("ingest_seq", *_PRICES)).alias("_first")  # whole rows, ties by their prices
+    return candles.groupBy(*KEY).agg(earliest).select(*KEY, *[f"_first.{c}" for c in _PRICES])
 
 
 def candle_range(candles: DataFrame, since, until) -> DataFrame:
@@ -67,13 +68,14 @@ def normalize_tickers(raw: DataFrame) -> DataFrame:
 def latest_tickers(tickers: DataFrame) -> DataFrame:
     """The newest snapshot of each symbol."""
     fields = [c for c in tickers.columns if c not in ("symbol", "timestamp")]
-    return tickers.groupBy("symbol").agg(
-        *[F.max_by(c, "timestamp").alias(c) for c in fields], F.max("timestamp").alias("timestamp"))
+    newest = F.max(F.struct("timestamp", *fields)).alias("_last")  # whole rows, ties by their values
+    return tickers.groupBy("symbol").agg(newest).select("symbol", *[f"_last.{c}" for c in fields], "_last.timestamp")
 
 
 def new_candles(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """The incoming candles whose key is not stored yet, each key once."""
-    once = first_seen(incoming) if "ingest_seq" in incoming.columns else incoming.dropDuplicates(KEY)
+    seen = incoming if "ingest_seq" in incoming.columns else incoming.withColumn("ingest_seq", F.lit(0).cast("long"))
+    once = first_seen(seen)
     return once.join(stored.select(*KEY), KEY, "left_anti")
 
 
