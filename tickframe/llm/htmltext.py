@@ -2,7 +2,7 @@
 
 A page is cut into leaf blocks: runs of text between block-level tags, in page order, each with the tags and the class,
 id and role words of its ancestors. The field has two states, main text and the rest; its features are those ancestors
-and the block's own text (length, share of links, punctuation, place), its transitions link neighbouring blocks. It is
+and the block's own text (length, share of links, punctuation), its transitions link neighbouring blocks. It is
 trained by stochastic gradients of the log-likelihood (forward-backward) and decoded by Viterbi.
 
 Training pages are a bounded sample of the table's pages that mark their article themselves (by the article or main
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tickframe.llm.common import batches
 
 SAMPLE_PAGES = 150
-LAID_OUT_PAGES = 350
+LAID_OUT_PAGES = 500
 EPOCHS = 6
 SEED = 7
 
@@ -143,16 +143,12 @@ def leaf_blocks(html: str) -> list[Block]:
 def features(blocks: list[Block], hide: bool = False) -> list[list[str]]:
     """Feature names of every block. ``hide`` leaves out the marks that name the article outright."""
     out = []
-    for i, b in enumerate(blocks):
+    for b in blocks:
         n = len(b.text)
         words = b.text.count(" ") + 1
         share = b.linked / max(1, n)
         f = ["bias", "words:%d" % min(7, words.bit_length()), "links:%d" % (0 if share == 0 else 1 if share < 0.4 else 2),
              "end:" + ("stop" if b.text[-1] in ".!?:;\"”»…" else "none"), "tag:" + (b.path[-1] if b.path else "")]
-        if i == 0:
-            f.append("first")
-        if i == len(blocks) - 1:
-            f.append("last")
         if "©" in b.text[:40]:
             f.append("owner")
         if b.text.isupper():
@@ -287,10 +283,11 @@ def laid_out_page(draw: random.Random, sentences: list[str]) -> str:
                             f"<ul><li>{say()}</li><li>{say()}</li></ul>",
                             f"<ol><li>{say()}</li><li>{say(2)}</li></ol>", f"<section><h2>{short()}</h2><p>{say(k)}</p><p>{say(k)}</p></section>",
                             f"<section><h3>{short()}</h3><p>{say(k)}</p></section>", f"<table><tr><td>{short()}</td><td>{say()}</td></tr></table>",
-                            f"<pre>{say(2)}</pre>", f"<blockquote>{say(2)}</blockquote>", f"<div>{say(k)}</div>"))
+                            f"<pre>{say(2)}</pre>", f"<blockquote>{say(2)}</blockquote>", f"{say(k)}<br><br>", f"{say()}<br>", f"<div>{say(k)}</div>"))
 
     parts = [f"<h1>{short() if draw.random() < 0.5 else say()}</h1>"] if draw.random() < 0.8 else []
-    for _ in range(draw.randint(1, 9)):
+    alone = draw.random() < 0.1
+    for _ in range(draw.randint(1, 2) if alone else draw.randint(1, 9)):
         parts.append(paragraph())
         if draw.random() < 0.12:
             parts.append(draw.choice((advert(), side, form())))
@@ -311,6 +308,12 @@ def laid_out_page(draw: random.Random, sentences: list[str]) -> str:
     if draw.random() < 0.6:
         draw.choice((before, after)).append(advert())
     draw.shuffle(after)
+    if draw.random() < 0.25:  # pages that are all or nearly all article
+        before, footer = [], footer if draw.random() < 0.4 else ""
+    if draw.random() < 0.25:
+        after, footer = [], footer if draw.random() < 0.4 else ""
+    if alone:
+        before, after, footer = [], [], ""
     return f"<html><body>{''.join(before)}{body}{''.join(after)}{footer}</body></html>"
 
 
@@ -336,7 +339,7 @@ def train(pages: list[str], seed: int = SEED) -> Field:
     for _ in range(EPOCHS):
         draw.shuffle(examples)
         for blocks, labels in examples:
-            field.learn(features(blocks, hide=draw.random() < 0.25), labels)
+            field.learn(features(blocks, hide=draw.random() < 0.15), labels)
     return field
 
 
