@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from tickframe.functions.exprs import half_up
 from tickframe.scan.chunks import ordered_chunks, with_halo
 from tickframe.scan.prefix import decay_block, decayed_sums, dense_position
+from tickframe.session import materialize
 
 # Strategy constants (fixed values).
 EMA_FAST = 9
@@ -95,16 +96,18 @@ def with_indicators(numbered: DataFrame) -> DataFrame:
     strength = 100 - 100 / (1 + F.try_divide(F.col("_up"), F.col("_down")))
     rsi = F.when(F.col("_down") == 0, F.lit(100.0)).otherwise(strength)
     ratio = F.when(F.col("volume_sma") > 0, F.try_divide(F.col("volume"), F.col("volume_sma"))).otherwise(0)
-    return smooth.withColumns({
+    with_averages = smooth.withColumns({
         "ema_fast": ready(F.col("_fast"), EMA_FAST - 1),
         "ema_slow": ready(F.col("_slow"), EMA_SLOW - 1),
-        # The value before this candle follows from the recurrence; no lag across chunks is needed.
-        "prev_fast": ready((F.col("_fast") - price * fast) / (1 - fast), EMA_FAST),
-        "prev_slow": ready((F.col("_slow") - price * slow) / (1 - slow), EMA_SLOW),
         "rsi": F.when(F.col("bar_seq") >= RSI_PERIOD, half_up(rsi.cast("decimal(20,10)"), 2)).cast("decimal(5,2)"),
         "volume_ratio": ratio.cast("decimal(28,8)"),
     }).drop("chunk", "_fast", "_slow", "_up", "_down", "_gain", "_loss",
             "_seed_fast", "_seed_slow", "_seed_gain", "_seed_loss")
+    # The values before a candle are those kept for the candle before, to the last decimal.
+    kept = materialize(with_averages)
+    before = kept.select("symbol", (F.col("bar_seq") + 1).alias("bar_seq"), F.col("ema_fast").alias("prev_fast"),
+                         F.col("ema_slow").alias("prev_slow"))
+    return kept.join(before, ["symbol", "bar_seq"], "left")
 
 
 def crossover(prev_fast="prev_fast", prev_slow="prev_slow", fast="ema_fast", slow="ema_slow") -> Column:

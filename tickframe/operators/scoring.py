@@ -60,6 +60,17 @@ def estimator_predictor(estimator, features: str = "features", scoring: str = "n
     return predict
 
 
+def class_share_predictor(train: DataFrame, test: DataFrame) -> DataFrame:
+    """``predict`` for :func:`cv_score` with a closed form: every class has its share of the training weight, the one of
+    the largest share (of the smallest label among equals) is predicted. One row per class is broadcast."""
+    shares = train.groupBy("y").agg(F.sum("weight").alias("_w"))
+    total = shares.agg(F.sum("_w").alias("_total"), F.max(F.struct("_w", (-F.col("y")).alias("_least"))).alias("_top"))
+    known = shares.join(F.broadcast(total), F.lit(True)).select(
+        "y", (F.col("_w") / F.col("_total")).alias("p_y"), (-F.col("_top._least")).alias("prediction"))
+    top = known.select("prediction").limit(1)
+    return test.join(F.broadcast(known.select("y", "p_y")), "y", "left").fillna(0.0, ["p_y"]).join(F.broadcast(top), F.lit(True), "left")
+
+
 def cv_score(samples: DataFrame, folds: DataFrame, predict: Callable[[DataFrame, DataFrame], DataFrame],
              scoring: str = "neg_log_loss") -> DataFrame:
     """(fold_id, score): fit on each fold's training rows and score its test rows, both weighted.

@@ -25,7 +25,7 @@ from tickframe.plans.trading import audit
 from tickframe.plans.weighting import sample_weights
 from tickframe.session import materialize, scratch_path, use_utc
 from tickframe.sources import adapters, candles, catalog
-from tickframe.sources.trades import read_events, read_trades, trades_from_events
+from tickframe.sources.trades import normalize_trades, read_events, read_trades, trades_from_events
 from tickframe.streaming import approvals as stream_approvals
 from tickframe.streaming import bars as stream_bars
 from tickframe.streaming import candles as stream_candles
@@ -123,6 +123,29 @@ def dollar_bars(spark, sf_dir):
     return bar_ops.bars_to_float(bar_ops.dollar_bars(read_trades(spark, sf_dir), THRESHOLD))
 
 
+@query(_BAR, _result(sql.BARS, "SELECT * FROM all_bars"))
+def dollar_bars_chunked(spark, sf_dir):
+    """The same bars from chunks of 64 trades, so that most bars cross chunks."""
+    return bar_ops.bars_to_float(bar_ops.dollar_bars(read_trades(spark, sf_dir), THRESHOLD, chunk_rows=64))
+
+
+@query("symbol:s seq:i ts:t price:f amount:f", _result(sql.TRADES, """
+SELECT symbol, seq, make_timestamp(CAST(floor(epoch_us(ts) / 1000) AS BIGINT) * 1000) AS ts, price, amount FROM trades"""))
+def normalized_trades(spark, sf_dir):
+    """Landed records with times in milliseconds and numbers as text."""
+    raw = read_trades(spark, sf_dir).select("symbol", F.unix_millis("ts").alias("ts_ms"), F.col("seq").cast("string").alias("seq"),
+                                            F.col("price").cast("string").alias("price"), F.col("amount").cast("string").alias("amount"))
+    return normalize_trades(raw)
+
+
+@query(_BAR, _result(sql.BARS, "SELECT * FROM bars WHERE symbol = 'click'"))
+def loaded_bars(spark, sf_dir):
+    """One series written to the store and loaded by symbol and threshold."""
+    root = scratch_path(spark, "bars")
+    catalog.store_bars(_bars(spark, sf_dir), THRESHOLD, root)
+    return catalog.load_bars(spark, root, "click", THRESHOLD)
+
+
 @query(_BAR, _result(sql.BARS, "SELECT * FROM bars"))
 def stored_bars(spark, sf_dir):
     """Bars written to the store and read back per series."""
@@ -189,6 +212,12 @@ def cusum_events(spark, sf_dir):
     return sampled_events(_bars(spark, sf_dir), LABELING)
 
 
+@query("symbol:s t0_seq:i trgt:f", _result(sql.CUSUM, "SELECT * FROM sampled"))
+def cusum_events_chunked(spark, sf_dir):
+    """The same events from chunks of 64 bars."""
+    return sampled_events(_bars(spark, sf_dir), LABELING, chunk_rows=64)
+
+
 @query("symbol:s t0_seq:i t1_seq:i t1:t", _result(sql.CUSUM, """
 SELECT s.symbol, s.t0_seq, b.bar_seq AS t1_seq, b.bar_end_ts AS t1
 FROM sampled s LEFT JOIN bars b ON b.symbol = s.symbol AND b.bar_seq = s.t0_seq + 10"""))
@@ -303,6 +332,12 @@ def purged_kfold(spark, sf_dir):
     return folds.purged_kfold(spans, series, FOLDING.n_splits, FOLDING.embargo_pct)
 
 
+@query(_FOLD, _result(sql.ORDER_SPANS + sql.folds(80, 1, 0.01), "SELECT * FROM folds_"))
+def purged_kfold_80(spark, sf_dir):
+    series, spans = _order_spans(spark, sf_dir)
+    return folds.purged_kfold(spans, series, 80, 0.01)
+
+
 @query(_FOLD, _result(sql.LABEL_SPANS + sql.folds(5, 2, 0.01), "SELECT * FROM folds_"))
 def combinatorial_folds(spark, sf_dir):
     bars, spans = _label_spans(spark, sf_dir)
@@ -341,6 +376,46 @@ def rule_scores(spark, sf_dir):
     return loss.join(scoring.fold_scores(tested, "accuracy").withColumnRenamed("score", "accuracy"), "fold_id")
 
 
+_FITTED = """,
+trained AS (
+  SELECT f.fold_id, l.bin AS y, sum(1 + abs(l.ret)) AS w FROM folds_ f
+  JOIN labels_ l ON l.symbol = f.symbol AND l.t0_seq = f.event_id WHERE f.role = 'train' GROUP BY ALL),
+shares AS (SELECT fold_id, y, w / sum(w) OVER (PARTITION BY fold_id) AS p FROM trained),
+tops AS (SELECT fold_id, first(y ORDER BY p DESC, y) AS top FROM shares GROUP BY fold_id),
+judged AS (
+  SELECT f.fold_id, 1 + abs(l.ret) AS w, l.bin AS y, t.top,
+         least(greatest(coalesce(s.p, 0), 2.220446049250313e-16), 1 - 2.220446049250313e-16) AS p
+  FROM folds_ f JOIN labels_ l ON l.symbol = f.symbol AND l.t0_seq = f.event_id JOIN tops t ON t.fold_id = f.fold_id
+  LEFT JOIN shares s ON s.fold_id = f.fold_id AND s.y = l.bin WHERE f.role = 'test'),
+result AS (
+  SELECT fold_id, sum(w * ln(p)) / sum(w) AS score, sum(CASE WHEN y = top THEN w ELSE 0 END) / sum(w) AS accuracy
+  FROM judged GROUP BY fold_id)"""
+
+
+def _fitted(bars, labelled, split):
+    samples = materialize(labelled.select(
+        "symbol", F.col("t0_seq").alias("event_id"), F.col("bin").cast("double").alias("y"), (1 + F.abs("ret")).alias("weight")))
+    split = materialize(split)
+    loss = scoring.cv_score(samples, split, scoring.class_share_predictor)
+    right = scoring.cv_score(samples, split, scoring.class_share_predictor, "accuracy")
+    return loss.join(right.withColumnRenamed("score", "accuracy"), "fold_id")
+
+
+@query("fold_id:i score:f accuracy:f", sql.LABEL_SPANS + sql.folds(4, 1, 0.01) + _FITTED)
+def fitted_scores(spark, sf_dir):
+    """A model with a closed form, fitted on the labels -1, 0 and 1 of every purged fold and scored both ways."""
+    bars, labelled = _labels(spark, sf_dir)
+    spans = labelled.select("symbol", F.col("t0_seq").alias("event_id"), "t0_seq", "t1_seq")
+    return _fitted(bars, labelled, folds.purged_kfold(spans, bars, 4, 0.01))
+
+
+@query("fold_id:i score:f accuracy:f", sql.LABEL_SPANS + sql.folds(5, 2, 0.01) + _FITTED)
+def fitted_scores_cpcv(spark, sf_dir):
+    bars, labelled = _labels(spark, sf_dir)
+    spans = labelled.select("symbol", F.col("t0_seq").alias("event_id"), "t0_seq", "t1_seq")
+    return _fitted(bars, labelled, folds.combinatorial_purged_kfold(spans, bars, 5, 2, 0.01))
+
+
 @query("fold_id:i score:f")
 def logistic_scores(spark, sf_dir):
     """A weighted logistic regression fitted and scored on every fold."""
@@ -508,6 +583,17 @@ def loaded_labels(spark, sf_dir):
     return catalog.load_labels(spark, LABELING, "purchase", THRESHOLD, root)
 
 
+@query("symbol:s t0_seq:i t1_seq:i avg_uniqueness:f weight:f", _result(
+    sql.LABEL_SPANS + sql.MEASURED, """
+SELECT symbol, t0_seq, t1_seq, avg_uniqueness, norm * decay AS weight FROM decayed WHERE symbol = 'view'"""))
+def loaded_weights(spark, sf_dir):
+    """One stored weight set read back by both recipes."""
+    root = scratch_path(spark, "weights")
+    bars, labelled = _labels(spark, sf_dir)
+    catalog.store_weights(sample_weights(bars, labelled, WEIGHTING), WEIGHTING, LABELING, THRESHOLD, root)
+    return catalog.load_weights(spark, WEIGHTING, LABELING, "view", THRESHOLD, root)
+
+
 @query("symbol:s decay_c:f n_weights:i", _result(
     sql.LABELS, "SELECT symbol, 0.5 AS decay_c, count(*) AS n_weights FROM labels_ GROUP BY symbol"))
 def weight_sets(spark, sf_dir):
