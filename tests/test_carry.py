@@ -1,11 +1,14 @@
 """Carry maps against plain simulation."""
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tickframe.operators.events import _arm_map, _exits_from_zero, _run_arms
 from tickframe.scan.carry import apply_map, compose, resolve_entries, simplify
+from tickframe.scan.prefix import decay_block, decayed_sums
 
 values = st.lists(st.tuples(st.integers(-5, 5), st.integers(1, 9)), min_size=1, max_size=30)
 
@@ -69,3 +72,19 @@ def test_entries_over_several_levels(spark):
         rows, "symbol string, chunk long, lo double, out double, is_shift boolean, resets long")
     got = resolve_entries(pieces, None, "double", group=3).orderBy("chunk").collect()
     assert [(r.chunk, r.entry, r.before) for r in got] == expected
+
+
+def test_decayed_sums_carry_over_flat_blocks(spark):
+    """A value keeps its weight over whole blocks of zeros, for a fast and a slow factor together."""
+    q = {"a": 0.8, "b": 0.93}
+    block = decay_block(list(q.values()))
+    rows = [("s", i, i // block, 1.0 if i in (3, 4 * block + 5) else 0.0) for i in range(5 * block)]
+    rows += [("t", i, i // block, 1.0) for i in range(2 * block)]
+    frame = spark.createDataFrame(rows, "symbol string, bar_seq long, chunk long, x double")
+    got = {(r.symbol, r.bar_seq): r for r in decayed_sums(frame, {n: (F.col("x"), f) for n, f in q.items()}, "bar_seq").collect()}
+    assert len(got) == len(rows)
+    for n, f in q.items():
+        y = {"s": 0.0, "t": 0.0}
+        for symbol, i, _, x in rows:
+            y[symbol] = f * y[symbol] + x
+            assert got[symbol, i][n] == pytest.approx(y[symbol], rel=1e-9, abs=1e-300)

@@ -9,19 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def apply_batches(atoms: DataFrame, func: Callable[..., pd.DataFrame], schema: str, batches: int,
+def apply_batches(atoms: DataFrame, func: Callable[..., pd.DataFrame], schema: str, rows: int,
                   seq: str = "seq", **kwargs) -> DataFrame:
-    """Call ``func(batch, **kwargs)`` on strided batches (every ``batches``-th row) and concatenate.
+    """Call ``func(batch, **kwargs)`` on batches of neighbouring positions, ``rows`` at most, and concatenate.
 
-    Choose ``batches`` so that one batch fits in a task; row order of the result is not defined.
+    ``seq`` is a position without repeats. Batches do not grow with the table, their number does; row order of the result
+    is not defined.
     """
-    if batches < 1:
-        raise ValueError(f"batches must be >= 1, got {batches}.")
+    if rows < 1:
+        raise ValueError(f"rows must be >= 1, got {rows}.")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return func(frame.drop(columns="_batch").sort_values(seq), **kwargs)
 
-    return atoms.withColumn("_batch", F.pmod(F.col(seq), F.lit(batches))).groupBy("_batch").applyInPandas(run, schema)
+    return atoms.withColumn("_batch", F.floor(F.col(seq) / rows)).groupBy("_batch").applyInPandas(run, schema)
 
 
 def reduce_batches(results: DataFrame, *aggregates) -> DataFrame | None:

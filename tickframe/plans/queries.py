@@ -805,12 +805,12 @@ def pending_ideas(spark, sf_dir):
 # --- user functions ----------------------------------------------------------------------------
 
 @query("batch:i rows:i total:f", _result(sql.TRADES, """
-SELECT seq % 16 AS batch, count(*) AS rows, sum(CAST(price * amount AS DOUBLE)) AS total FROM trades GROUP BY 1"""))
+SELECT seq // 500 AS batch, count(*) AS rows, sum(CAST(price * amount AS DOUBLE)) AS total FROM trades GROUP BY 1"""))
 def batch_sums(spark, sf_dir):
-    """A user function over sixteen strided batches."""
+    """A user function over batches of 500 positions."""
     def total(frame):
         value = (frame["price"].astype("float64") * frame["amount"].astype("float64")).sum()
-        return frame.head(1).assign(batch=frame["seq"] % 16, rows=len(frame), total=value)[["batch", "rows", "total"]]
+        return frame.head(1).assign(batch=frame["seq"] // 500, rows=len(frame), total=value)[["batch", "rows", "total"]]
 
     atoms = read_trades(spark, sf_dir).select("seq", "price", "amount")
-    return batches.apply_batches(atoms, total, "batch long, rows long, total double", 16)
+    return batches.apply_batches(atoms, total, "batch long, rows long, total double", 500)

@@ -72,10 +72,9 @@ def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]], position:
     """Add y_t = q*y_(t-1) + x_t per symbol (y before the first row is 0) over a dense position.
 
     ``df`` has ``chunk`` = position / decay_block(factors), e.g. from ``with_halo``, whose shuffle is
-    reused. Inside a chunk y is ``q^i * sum(x * q^-i)``, one ordinary window sum. Doubles hold the
-    weights, and a value three chunks back has decayed far below their resolution, so the carry into
-    a chunk needs the totals of the two chunks before it only. Chunks grow with the memory of the
-    decay, never with the series.
+    reused. Inside a chunk y is ``q^i * sum(x * q^-i)``, one ordinary window sum; what came before a chunk reaches it by
+    key from the blocks before, so no window spans a series. Chunks grow with the memory of the decay, never with the
+    series.
     """
     m = decay_block([q for _, q in sums.values()])
     i = (F.col(position) - F.col("chunk") * m).cast("double")
@@ -84,25 +83,24 @@ def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]], position:
         Window.partitionBy("symbol", "chunk").orderBy(position)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    chunks = Window.partitionBy("symbol").orderBy("chunk")
     scaled = {n: (x * F.pow(F.lit(q), -F.col("_i")), q) for n, (x, q) in sums.items()}
     totals = base.groupBy("symbol", "chunk").agg(
         *[(F.sum(x) * F.lit(q ** (m - 1))).alias(f"__off_{n}") for n, (x, q) in scaled.items()]
     )
-    carries = totals.select(
-        "symbol", "chunk",
-        *[
-            (F.coalesce(F.lag(f"__off_{n}", 1).over(chunks), F.lit(0.0))
-             + F.coalesce(F.lag(f"__off_{n}", 2).over(chunks), F.lit(0.0)) * F.lit(q ** m)).alias(f"__off_{n}")
-            for n, (_, q) in scaled.items()
-        ],
-    )
+    # Every block's total goes to the blocks behind it, as far as its weight is a double above zero (e^-745): that is the
+    # whole carry, and a bounded number of blocks for any series.
+    reach = 1 + max(math.ceil(745 / (-math.log(q) * m)) for _, q in scaled.values())
+    sent = totals.select("symbol", F.explode(F.array(*[
+        F.struct((F.col("chunk") + k).alias("chunk"), *[
+            (F.col(f"__off_{n}") * F.lit(q ** (m * (k - 1)))).alias(f"__off_{n}") for n, (_, q) in scaled.items()])
+        for k in range(1, reach + 1)])).alias("_s")).select("symbol", "_s.*")
+    carries = sent.groupBy("symbol", "chunk").agg(*[F.sum(f"__off_{n}").alias(f"__off_{n}") for n in scaled])
     local = base.select(
         "*",
         *[(F.sum(x).over(upto) * F.pow(F.lit(q), F.col("_i"))).alias(n)
           for n, (x, q) in scaled.items()],
     )
-    joined = local.join(carries, ["symbol", "chunk"])
+    joined = local.join(carries, ["symbol", "chunk"], "left").fillna(0.0, [f"__off_{n}" for n in scaled])
     for n, (_, q) in scaled.items():
         joined = joined.withColumn(
             n, F.col(n) + F.pow(F.lit(q), F.col("_i") + 1) * F.col(f"__off_{n}")
