@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import hostquality, htmltext, langid, lm, merkle, mixing, packing, passages, rules, simhash
+from tickframe.llm import checks, hostquality, htmltext, langid, lm, merkle, mixing, packing, passages, rules, simhash
 from tickframe.llm.common import crc_bucket, saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,7 @@ def op10_quality_rules(spark, sf_dir):
     verdicts = rules.quality_verdicts(table(spark, sf_dir, "documents"), ["doc_id"])
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                            "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
+
+
+ORACLES["op10_quality_rules"] = checks.QUALITY_RULES
+ORACLES["op9_host_quality"] = checks.HOST_QUALITY
