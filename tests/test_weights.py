@@ -100,8 +100,12 @@ def test_two_ways_to_uniqueness_agree(closes_frame, spans_frame):
     for pairs in ([(0, 3), (2, 5), (4, 7)], random_spans(9)):
         spans = spans_frame(pairs)
         one = average_uniqueness(concurrency(grid_of(closes_frame, N), spans), spans).orderBy("event_id").collect()
-        two = incidence_uniqueness(event_incidence(spans)).orderBy("event_id").collect()
-        assert [r.avg_uniqueness for r in one] == pytest.approx([r.avg_uniqueness for r in two])
+        two = incidence_uniqueness(grid_of(closes_frame, N), spans).orderBy("event_id").collect()
+        cells = event_incidence(spans)
+        counts = cells.groupBy("symbol", "bar_seq").agg(F.count("*").alias("c"))
+        three = cells.join(counts, ["symbol", "bar_seq"]).groupBy("event_id").agg(F.avg(1 / F.col("c")).alias("u")).orderBy("event_id").collect()
+        for other in ([r.avg_uniqueness for r in two], [r.u for r in three]):
+            assert [r.avg_uniqueness for r in one] == pytest.approx(other)
 
 
 def naive_draw(pairs, draws, seed, n):

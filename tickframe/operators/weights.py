@@ -136,15 +136,16 @@ def time_decay(spans: DataFrame, decay_c: float, chunk_rows: int | None = None)
 
 
 def event_incidence(spans: DataFrame) -> DataFrame:
-    """(symbol, bar_seq, event_id) for every bar a span covers; sparse, on demand only."""
+    """(symbol, bar_seq, event_id) for every bar a span covers: as many rows as the spans have bars. No operator here needs
+    it; it is for looking at few spans."""
     return spans.select(
         "symbol", F.explode(F.sequence("t0_seq", "t1_seq")).alias("bar_seq"), "event_id"
     )
 
 
-def incidence_uniqueness(incidence: DataFrame) -> DataFrame:
-    """Per event the mean of 1/concurrency over its own bars, within the given events only."""
-    counts = incidence.groupBy("symbol", "bar_seq").agg(F.count("*").alias("_c"))
-    return incidence.join(counts, ["symbol", "bar_seq"]).groupBy("symbol", "event_id").agg(
-        F.avg(1 / F.col("_c")).alias("avg_uniqueness")
-    )
+def incidence_uniqueness(grid: DataFrame, spans: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+    """(symbol, event_id, avg_uniqueness): per event the mean of 1/concurrency over its own bars, within the given events
+    only. Counted on the grid, so spans are not expanded to their bars."""
+    chosen = spans.select("symbol", "event_id", "t0_seq", "t1_seq")
+    counted = concurrency(grid.select("symbol", "bar_seq"), chosen, chunk_rows)
+    return average_uniqueness(counted, chosen, chunk_rows).select("symbol", "event_id", "avg_uniqueness")

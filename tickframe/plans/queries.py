@@ -292,8 +292,8 @@ def label_weights(spark, sf_dir):
 
 @query("symbol:s event_id:i avg_uniqueness:f", _result(sql.ORDER_SPANS + sql.MEASURED, "SELECT * FROM measured"))
 def incidence_uniqueness(spark, sf_dir):
-    _, spans = _order_spans(spark, sf_dir)
-    return weight_ops.incidence_uniqueness(weight_ops.event_incidence(spans))
+    series, spans = _order_spans(spark, sf_dir)
+    return weight_ops.incidence_uniqueness(series, spans)
 
 
 @query("symbol:s replicate:i draw:i event_id:i")
