@@ -24,7 +24,7 @@ from tickframe.llm.common import SPACE, HOT_SHARE, saved
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
-BINS = 1 << 16
+BINS = 1 << 12
 SEED = "mix"
 
 
