@@ -19,7 +19,6 @@ are packed as often as they come. An empty table gives no pieces. Columns other
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import batches
-from tickframe.llm.tokens import WordIds, vocabulary_path
+from tickframe.llm.tokens import vocabulary_path, word_ids
 
 LIMIT = 4096
 END_ID = 2
@@ -37,6 +36,7 @@ SENTENCE_PENALTY = 2
 CUT_PENALTY = 24
 #: A stretch without a candidate longer than this gets places to cut anywhere.
 LONGEST_GAP = 256
+LEAST_GAP = 6
 #: Tokens worked off at once.
 BUFFER = 96 * LIMIT
 #: Shortest and longest exponent of windows that need no padding, inside the stream and at its end.
@@ -44,7 +44,7 @@ POWERS = range(8, 12)
 LAST_POWERS = range(0, 12)
 
 
-def candidates(tokens: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+def candidates(tokens: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, last: bool, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a window may end, 0 first, and their penalties. Positions count tokens before the cut."""
     n = len(tokens)
     penalty = np.full(n + 1, -1, np.int64)
@@ -52,17 +52,20 @@ def candidates(tokens: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarr
     penalty[doc_ends] = 0
     penalty[0] = 0
     at = np.flatnonzero(penalty >= 0)
+    # of sentences that end close to each other, the first will do
+    at = at[(penalty[at] == 0) | (np.diff(at, prepend=-LEAST_GAP) >= LEAST_GAP)]
+    penalty[:] = np.where(np.isin(np.arange(n + 1), at, kind="table"), penalty, -1)
     if at[-1] != n:
         at = np.append(at, n)
-    for start in np.flatnonzero(np.diff(at) > LONGEST_GAP):
-        inner = np.arange(at[start] + LONGEST_GAP, at[start + 1], LONGEST_GAP)
+    gap = min(LONGEST_GAP, max(1, limit // 16))
+    for start in np.flatnonzero(np.diff(at) > gap):
+        inner = np.arange(at[start] + gap, at[start + 1], gap)
         penalty[inner] = CUT_PENALTY
     if last:
-        tail = n - np.array([1 << k for k in LAST_POWERS])
-        sums = n - np.array([m for m in range(LIMIT) if m & (m - 1) and bin(m).count("1") <= 3])
-        for places in (tail, sums):
-            places = places[places > 0]
-            penalty[places] = np.where(penalty[places] < 0, CUT_PENALTY, penalty[places])
+        # where the last windows could have lengths that need no padding
+        tail = n - np.array([m for m in range(1, limit) if m.bit_count() <= 3])
+        tail = tail[tail > 0]
+        penalty[tail] = np.where(penalty[tail] < 0, CUT_PENALTY, penalty[tail])
     if penalty[n] < 0:
         penalty[n] = CUT_PENALTY
     at = np.flatnonzero(penalty >= 0)
@@ -72,30 +75,34 @@ def candidates(tokens: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarr
 def best_cuts(at: np.ndarray, penalty: np.ndarray, limit: int, powers: range) -> list[int]:
     """The positions where the windows end at least cost, the last candidate included."""
     n = len(at)
-    free: dict[int, list[int]] = {}
-    for k in powers:
+    free: list[list[int] | None] = [None] * n
+    for k in (k for k in powers if 1 << k <= limit):
         found = np.searchsorted(at, at - (1 << k))
         hits = np.flatnonzero((at[np.minimum(found, n - 1)] == at - (1 << k)) & (at >= (1 << k)))
         for j, i in zip(hits.tolist(), found[hits].tolist()):
-            free.setdefault(j, []).append(i)
-    place, cost_of = at.tolist(), penalty.tolist()
+            if free[j] is None:
+                free[j] = [i]
+            else:
+                free[j].append(i)
+    place = at.tolist()
     cost, back = [0] * n, [0] * n
-    queue = deque([(0, 0)])
-    for j in range(1, n):
-        p = place[j]
-        while place[queue[0][1]] < p - limit:
-            queue.popleft()
-        low, i = queue[0]
-        best = low + limit - p
-        for other in free.get(j, ()):
-            if cost[other] < best:
-                best, i = cost[other], other
-        best += cost_of[j]
+    lows, whose, head = [0], [0], 0  # the queue: g ascending, and the candidate of each; what lies before head has left it
+    for j, p, extra, others in zip(range(1, n), place[1:], penalty[1:].tolist(), free[1:]):
+        while place[whose[head]] < p - limit:
+            head += 1
+        best, i = lows[head] + limit - p, whose[head]
+        if others is not None:
+            for other in others:
+                if cost[other] < best:
+                    best, i = cost[other], other
+        best += extra
         cost[j], back[j] = best, i
-        g = best + p
-        while queue and queue[-1][0] >= g:
-            queue.pop()
-        queue.append((g, j))
+        best += p
+        while len(lows) > head and lows[-1] >= best:
+            lows.pop()
+            whose.pop()
+        lows.append(best)
+        whose.append(j)
     cuts, j = [], n - 1
     while j > 0:
         cuts.append(place[j])
@@ -125,7 +132,7 @@ class _Stream:
         tokens = np.frombuffer(raw, "<u4")
         left = np.array([n - done for _, n, done in self.docs])
         doc_ends = np.cumsum(left)
-        at, penalty = candidates(tokens, doc_ends, self.ends_sentence, last)
+        at, penalty = candidates(tokens, doc_ends, self.ends_sentence, last, self.limit)
         cuts = best_cuts(at, penalty, self.limit, LAST_POWERS if last else POWERS)
         if not last:
             cuts = cuts[:max(0, len(cuts) - 4)]
@@ -172,7 +179,7 @@ def pack(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str |
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, stream = WordIds(path), None
+        words, stream = word_ids(path), None
         for batch in batches(source):
             if stream is None:
                 stream = _Stream(words.ends_sentence, limit, with_ids, keep, batch.schema)
