@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,15 +26,49 @@ def _small_star(links: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+#: Links that one task contracts on its own before the rounds.
+TASK_LINKS = 500_000
+
+
+def spanning_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node connected to it) for the nodes of these links that are not the smallest themselves."""
+    nodes, places = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = places[:len(a)], places[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        p, q = label[x], label[y]
+        apart = p != q
+        if not apart.any():
+            break
+        high, low = np.maximum(p, q)[apart], np.minimum(p, q)[apart]
+        up = np.arange(len(nodes))
+        np.minimum.at(up, high, low)
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+    below = label != np.arange(len(nodes))
+    return nodes[below], nodes[label[below]]
+
+
+def _contract(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = list(source)
+    if held:
+        links = pa.Table.from_batches(held)
+        node, root = spanning_stars(links.column("a").to_numpy(), links.column("b").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node that has a link, root being the smallest node it reaches. ``links`` has long
     columns a and b; either order, repeats, loops and nulls (ignored) are allowed.
 
-    Each round is written to the shared folder. The rounds grow with the logarithm of the longest path, and end
-    when a round leaves a star forest as it was. Sums are of decimals, so no value is too large for them.
+    First every task contracts a bounded number of links to a forest of their nodes, so that the many links of a dense
+    group do not reach the rounds. Each round is written to the shared folder. The rounds grow with the logarithm of the
+    longest path, and end when a round leaves a star forest as it was. Sums are of decimals, so no value is too large.
     """
-    now = saved(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-                "links")
+    raw = saved(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+    parts = raw.count() // TASK_LINKS + 1
+    now = saved(raw.coalesce(parts).mapInArrow(_contract, "a long, b long"), "forests")
     before = None
     while True:
         key = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -105,17 +105,20 @@ def blocks_for(bits: int, n: int) -> tuple[int, list[int]]:
 
 
 class _Forest:
-    """Which leaves are connected so far: the label of a leaf is the smallest leaf connected to it."""
+    """Which nodes are connected so far: the label of a node is the smallest node connected to it. ``owner`` is the node of
+    every leaf, the same in all tries that it stands in."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, owner: np.ndarray):
+        self.owner = owner
+        self.label = np.arange(int(owner.max(initial=-1)) + 1)
         self._steps()
 
     def _steps(self) -> None:
-        self.change = np.concatenate(([0], np.cumsum(self.label[1:] != self.label[:-1])))
+        self.leaf = self.label[self.owner]
+        self.change = np.concatenate(([0], np.cumsum(self.leaf[1:] != self.leaf[:-1])))
 
     def fresh(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.label[a] != self.label[b]
+        return self.leaf[a] != self.leaf[b]
 
     def one(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """Whether all leaves from s to e - 1 have one label."""
@@ -125,7 +128,7 @@ class _Forest:
         """Connect the pairs and return those that made a connection, one for each, at most n - 1 in all."""
         made = []
         while True:
-            x, y = self.label[a], self.label[b]
+            x, y = self.label[self.owner[a]], self.label[self.owner[b]]
             open_ = x != y
             a, b, x, y = a[open_], b[open_], x[open_], y[open_]
             if not len(a):
@@ -159,13 +162,14 @@ def _compare(fp: np.ndarray, forest: _Forest, pairs: np.ndarray, bits: int) -> t
     return forest.join(a[near], b[near])
 
 
-def trie_links(fp: np.ndarray, starts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(fp: np.ndarray, starts: np.ndarray, bits: int, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A forest of links (leaf positions) among the leaves of several tries. ``fp`` is unsigned and sorted within each
-    trie; ``starts`` holds the first leaf of each trie and the number of leaves at its end.
+    trie; ``starts`` holds the first leaf of each trie and the number of leaves at its end; ``owner`` numbers the nodes that
+    the leaves stand for, each leaf its own if it is missing.
 
     Node pairs are walked a level at a time in chunks, the deepest first, so memory stays bounded.
     """
-    forest = _Forest(len(fp))
+    forest = _Forest(np.arange(len(fp)) if owner is None else owner)
     left, right = [], []
     roots = np.stack([starts[:-1], starts[1:], starts[:-1], starts[1:]])
     stack = [(63, roots[:, starts[1:] - starts[:-1] > 1], np.zeros(int((starts[1:] - starts[:-1] > 1).sum()), np.int64))]
@@ -203,30 +207,38 @@ def trie_links(fp: np.ndarray, starts: np.ndarray, bits: int) -> tuple[np.ndarra
         s1, e1, s2, e2 = pairs
         m1, m2 = split(level, s1, e1), split(level, s2, e2)
         self_pair = s1 == s2
-        children = [(s1, m1, s2, m2, 0), (m1, e1, m2, e2, 0), (s1, m1, m2, e2, 1), (m1, e1, s2, m2, 1)]
-        for k in (3, 2, 1, 0):
-            a, b, c, d, cost = children[k]
-            keep = (b > a) & (d > c) & (spent + cost <= bits) & ~(self_pair & (k == 3))
-            if keep.any():
-                stack.append((level - 1, np.stack([a, b, c, d])[:, keep], spent[keep] + cost))
+        children = []
+        for s_, e_, t_, f_, cost in ((s1, m1, s2, m2, 0), (m1, e1, m2, e2, 0), (s1, m1, m2, e2, 1), (m1, e1, s2, m2, 1)):
+            keep = (e_ > s_) & (f_ > t_) & (spent + cost <= bits)
+            if cost and s_ is m1:
+                keep &= ~self_pair  # a node's halves meet once
+            children.append((np.stack([s_, e_, t_, f_])[:, keep], spent[keep] + cost))
+        # one entry a level, else the entries would multiply by four with each
+        stack.append((level - 1, np.concatenate([c[0] for c in children], 1), np.concatenate([c[1] for c in children])))
     empty = np.empty(0, np.int64)
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
-def _walk(bits: int):
+def _walk(bits: int, masks: list[int]):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(source)) if source is not None else None
-        if rows is None or not rows.num_rows:
+        rows = pa.Table.from_batches(list(source))
+        if not rows.num_rows:
             return
-        trie, key, fp, node = (rows.column(c).to_numpy() for c in ("trie", "key", "fp", "node"))
+        trie, fp, node = (rows.column(c).to_numpy() for c in ("trie", "fp", "node"))
+        key = fp & np.array(masks, np.int64)[trie % len(masks)]
         fp = fp.astype(np.int64).view(np.uint64)
         order = np.lexsort((fp, key, trie))
         trie, key, fp, node = trie[order], key[order], fp[order], node[order]
         new = np.flatnonzero((trie[1:] != trie[:-1]) | (key[1:] != key[:-1])) + 1
-        a, b = trie_links(fp, np.concatenate(([0], new, [len(fp)])), bits)
+        owner = np.unique(node, return_inverse=True)[1]
+        a, b = trie_links(fp, np.concatenate(([0], new, [len(fp)])), bits, owner)
         yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    return run
+    def safe(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(source)
+        return run(iter(held)) if held else iter(())
+
+    return safe
 
 
 def near_links(nodes: DataFrame, n: int, bits: int, words: int = 1) -> DataFrame:
@@ -237,13 +249,13 @@ def near_links(nodes: DataFrame, n: int, bits: int, words: int = 1) -> DataFrame
     in a trie's top bits are its size.
     """
     masks = blocks_for(bits, n)[1]
-    tops = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).alias("m")) for t, m in enumerate(masks)]))
+    tops = F.explode(F.array(*[F.struct(F.lit(t).alias("t")) for t in range(len(masks))]))
     words_in = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"fp{k}").alias("fp")) for k in range(words)]))
     rows = nodes.select("node", words_in.alias("w")).select("node", "w", tops.alias("top")).select(
-        (F.col("w.k") * len(masks) + F.col("top.t")).alias("trie"), F.col("w.fp").bitwiseAND(F.col("top.m")).alias("key"),
-        F.col("w.fp").alias("fp"), "node")
+        (F.col("w.k") * len(masks) + F.col("top.t")).alias("trie"), F.col("w.fp").alias("fp"), "node")
     parts = max(1, n * len(masks) * words // TASK_ROWS + 1)
-    return rows.repartition(parts, "trie", "key").mapInArrow(_walk(bits), "a long, b long")
+    mask = F.get(F.array(*[F.lit(m) for m in masks]), F.col("trie") % len(masks))
+    return rows.repartition(parts, "trie", F.col("fp").bitwiseAND(mask)).mapInArrow(_walk(bits, masks), "a long, b long")
 
 
 def near_groups(prints: DataFrame, doc_id: str, bits: int, words: int = 1) -> DataFrame:
@@ -263,9 +275,9 @@ def near_groups(prints: DataFrame, doc_id: str, bits: int, words: int = 1) -> Da
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, bits: int = 8,
-                words: int = 2) -> DataFrame:
+                words: int = 3) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one of the smallest id (nulls last), then of
-    the smallest text hash. Two fingerprint words of the same shingles raise the share of similar pairs that are
+    the smallest text hash. Several fingerprint words of the same shingles raise the share of similar pairs that are
     found without a wider budget. Rows equal in id and text are copies, so one of them stays."""
     keyed = docs.withColumn("_llm_tie", F.xxhash64(text))
     prints = saved(fingerprints(keyed.withColumn("_llm_id", F.col(doc_id)), ["_llm_id", "_llm_tie"], shingle, words, text), "prints")
