@@ -13,6 +13,7 @@ up to the next piece's ``lo``.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from decimal import Decimal
 
@@ -45,6 +46,12 @@ def apply_map(pieces: list[tuple], entry) -> tuple:
     return (entry + out if is_shift else out), resets
 
 
+def _least_entry(lo, shift):
+    """The least entry that the shift takes to ``lo`` or above; a float difference may round below it."""
+    entry = lo - shift
+    return math.nextafter(entry, math.inf) if isinstance(entry, float) and entry + shift < lo else entry
+
+
 def compose(first: list[tuple], second: list[tuple]) -> list[tuple]:
     """The map of two neighbouring chunks as one."""
     joined = []
@@ -55,8 +62,8 @@ def compose(first: list[tuple], second: list[tuple]) -> list[tuple]:
             continue
         hi = first[k + 1][0] if k + 1 < len(first) else None
         for j, (lo2, out2, shift2, resets2) in enumerate(second):
-            start = lo if j == 0 else max(lo, lo2 - out)
-            stop = second[j + 1][0] - out if j + 1 < len(second) else None
+            start = lo if j == 0 else max(lo, _least_entry(lo2, out))
+            stop = _least_entry(second[j + 1][0], out) if j + 1 < len(second) else None
             if (stop is not None and start >= stop) or (hi is not None and start >= hi):
                 continue
             joined.append((start, out + out2 if shift2 else out2, shift2, resets + resets2))
