@@ -349,3 +349,31 @@ def test_pipeline(spark, empty, tmp_path):
         assert stage(spark, empty, "").columns == empty.columns
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+# --- verified near-duplicates --------------------------------------------------------------------
+
+def test_one_of_each_line(spark):
+    """Only pairs of a five-word similarity of 0.8 count, and a failed pair hides none that reaches it."""
+    from itertools import combinations
+
+    draw = np.random.default_rng(11)
+    rows = []
+    for group in range(30):
+        base = [f"g{group}w{i}" for i in range(200)]
+        for change in (0, 1, 2, 4, 6, 8, 10):
+            at = draw.choice(200, change, replace=False)
+            rows.append((len(rows), " ".join(f"new{group}x{change}" if i in at else w for i, w in enumerate(base))))
+    rows = [rows[i] for i in draw.permutation(len(rows))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    prints = {i: simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5), 3) for i, t in rows}
+    root, failed = {i: i for i in sets}, 0
+    for a, b in combinations(sorted(sets), 2):
+        if any(((x ^ y) % 2**64).bit_count() <= 8 for x, y in zip(prints[a], prints[b])):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if v == old else v for k, v in root.items()}
+            else:
+                failed += 1
+    assert failed > 20 and {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(root.values())

@@ -11,6 +11,9 @@ bits. ``c`` follows the number of fingerprints, such that a trie of random ones
 Copies are one fingerprint before any of this, so a group of copies costs no pairs, and a node pair whose leaves are
 all connected already is skipped, so a dense group costs no list of its pairs either. What comes out is a forest of
 links with the same components.
+
+SimHash only estimates similarity. ``one_of_each`` takes such links as candidates: it compares the shingle sets of both
+ends and groups by the links that reach the line. There a node pair is skipped only if links that reached it connect it.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ LEAF_PAIRS = 64
 #: Leaf pairs compared at once, and node pairs walked at once.
 CHUNK = 1 << 19
 TASK_ROWS = 200_000
+#: For the rounding of line * size.
+SLACK = 1e-9
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -71,6 +76,12 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> list[int]:
     return out
 
 
+def set_digest(hashes: np.ndarray) -> tuple[int, int]:
+    """A signed 64-bit digest of the set of hashes and its size."""
+    own = np.unique(hashes)
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)), len(own)
+
+
 def _fingerprints(shingle: int, words: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
@@ -89,6 +100,29 @@ def fingerprints(docs: DataFrame, keep: list[str], shingle: int = 4, words: int
     return narrow.mapInArrow(_fingerprints(shingle, words), schema)
 
 
+def _shingled(shingle: int, words: int):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source):
+            hashes = [shingle_hashes(t.as_py(), shingle) for t in batch.column("_llm_text")]
+            prints = [fingerprint(h, words) for h in hashes]
+            sets = [set_digest(h) for h in hashes]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_llm_id"), batch.column("_llm_tie"), pa.array([d for d, _ in sets], pa.int64()),
+                 pa.array([n for _, n in sets], pa.int64()), *[pa.array([r[k] for r in prints], pa.int64()) for k in range(words)]],
+                names=["_llm_id", "_llm_tie", "node", "size"] + [f"fp{k}" for k in range(words)])
+
+    return run
+
+
+def _shingle_sets(shingle: int):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source):
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column("_llm_text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return run
+
+
 def blocks_for(bits: int, n: int) -> tuple[int, list[int]]:
     """The number of equal blocks c and the masks of all choices of c among bits + c blocks."""
     for c in range(1, 65 - bits):
@@ -148,7 +182,16 @@ class _Forest:
         return np.empty(0, np.int64), np.empty(0, np.int64)
 
 
-def _compare(fp: np.ndarray, forest: _Forest, pairs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+class _Every(_Forest):
+    """Keeps every pair between nodes that are not connected from the start, and connects none."""
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        open_ = self.fresh(a, b)
+        return a[open_], b[open_]
+
+
+def _compare(fp: np.ndarray, forest: _Forest, pairs: np.ndarray, bits: int, size: np.ndarray | None = None,
+             line: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """All leaf pairs of the node pairs (columns s1 e1 s2 e2) in one chunk."""
     s1, e1, s2, e2 = pairs
     counts = (e1 - s1) * (e2 - s2)
@@ -159,6 +202,8 @@ def _compare(fp: np.ndarray, forest: _Forest, pairs: np.ndarray, bits: int) -> t
     up = a < b
     a, b = a[up], b[up]
     near = np.bitwise_count(fp[a] ^ fp[b]) <= bits
+    if size is not None:  # sets that differ more in size cannot reach the line
+        near &= np.minimum(size[a], size[b]) >= line * np.maximum(size[a], size[b]) - SLACK
     return forest.join(a[near], b[near])
 
 
@@ -169,8 +214,14 @@ def trie_links(fp: np.ndarray, starts: np.ndarray, bits: int, owner: np.ndarray
 
     Node pairs are walked a level at a time in chunks, the deepest first, so memory stays bounded.
     """
-    forest = _Forest(np.arange(len(fp)) if owner is None else owner)
-    left, right = [], []
+    empty = np.empty(0, np.int64)
+    found = list(_links(fp, starts, bits, _Forest(np.arange(len(fp)) if owner is None else owner)))
+    return np.concatenate([empty, *[a for a, _ in found]]), np.concatenate([empty, *[b for _, b in found]])
+
+
+def _links(fp: np.ndarray, starts: np.ndarray, bits: int, forest: _Forest, set_size: np.ndarray | None = None,
+           line: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links of ``trie_links`` as they are found."""
     roots = np.stack([starts[:-1], starts[1:], starts[:-1], starts[1:]])
     stack = [(63, roots[:, starts[1:] - starts[:-1] > 1], np.zeros(int((starts[1:] - starts[:-1] > 1).sum()), np.int64))]
     zeros: dict[int, np.ndarray] = {}
@@ -194,9 +245,7 @@ def trie_links(fp: np.ndarray, starts: np.ndarray, bits: int, owner: np.ndarray
             leaves, sizes = pairs[:, small], size[small]
             room = np.cumsum(sizes) // CHUNK
             for cut in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(room)) + 1):
-                a, b = _compare(fp, forest, leaves[:, cut], bits)
-                left.append(a)
-                right.append(b)
+                yield _compare(fp, forest, leaves[:, cut], bits, set_size, line)
         pairs, spent = pairs[:, ~small], spent[~small]
         if not len(spent):
             continue
@@ -215,8 +264,6 @@ def trie_links(fp: np.ndarray, starts: np.ndarray, bits: int, owner: np.ndarray
             children.append((np.stack([s_, e_, t_, f_])[:, keep], spent[keep] + cost))
         # one entry a level, else the entries would multiply by four with each
         stack.append((level - 1, np.concatenate([c[0] for c in children], 1), np.concatenate([c[1] for c in children])))
-    empty = np.empty(0, np.int64)
-    return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
 def _walk(bits: int, masks: list[int]):
@@ -241,6 +288,37 @@ def _walk(bits: int, masks: list[int]):
     return safe
 
 
+def _walk_candidates(bits: int, masks: list[int], every: bool, line: float):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(source)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        trie, fp, node, label, size = (rows.column(c).to_numpy() for c in ("trie", "fp", "node", "label", "size"))
+        key = fp & np.array(masks, np.int64)[trie % len(masks)]
+        fp = fp.astype(np.int64).view(np.uint64)
+        order = np.lexsort((fp, key, trie))
+        trie, key, fp, node, label, size = (x[order] for x in (trie, key, fp, node, label, size))
+        new = np.flatnonzero((trie[1:] != trie[:-1]) | (key[1:] != key[:-1])) + 1
+        forest = (_Every if every else _Forest)(np.unique(label, return_inverse=True)[1])
+        for a, b in _links(fp, np.concatenate(([0], new, [len(fp)])), bits, forest, size, line):
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    return run
+
+
+def _dealt(nodes: DataFrame, n: int, bits: int, words: int, *more: str) -> tuple[DataFrame, list[int]]:
+    """(trie, fp, node, ``more``), a row for each trie that a fingerprint word stands in, dealt out by trie, and the masks."""
+    masks = blocks_for(bits, n)[1]
+    tops = F.explode(F.array(*[F.struct(F.lit(t).alias("t")) for t in range(len(masks))]))
+    words_in = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"fp{k}").alias("fp")) for k in range(words)]))
+    rows = nodes.select("node", *more, words_in.alias("w")).select("node", *more, "w", tops.alias("top")).select(
+        (F.col("w.k") * len(masks) + F.col("top.t")).alias("trie"), F.col("w.fp").alias("fp"), "node", *more)
+    parts = max(1, n * len(masks) * words // TASK_ROWS + 1)
+    mask = F.get(F.array(*[F.lit(m) for m in masks]), F.col("trie") % len(masks))
+    return rows.repartition(parts, "trie", F.col("fp").bitwiseAND(mask)), masks
+
+
 def near_links(nodes: DataFrame, n: int, bits: int, words: int = 1) -> DataFrame:
     """Links (a, b) between nodes, whose components are those of all pairs that differ in at most ``bits`` bits in
     one of their words. ``nodes`` has a long column node, distinct, and fp0, fp1, ...; n is their number.
@@ -248,14 +326,8 @@ def near_links(nodes: DataFrame, n: int, bits: int, words: int = 1) -> DataFrame
     A task holds the tries that are dealt to it; only distinct fingerprints are left here, and those that agree
     in a trie's top bits are its size.
     """
-    masks = blocks_for(bits, n)[1]
-    tops = F.explode(F.array(*[F.struct(F.lit(t).alias("t")) for t in range(len(masks))]))
-    words_in = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"fp{k}").alias("fp")) for k in range(words)]))
-    rows = nodes.select("node", words_in.alias("w")).select("node", "w", tops.alias("top")).select(
-        (F.col("w.k") * len(masks) + F.col("top.t")).alias("trie"), F.col("w.fp").alias("fp"), "node")
-    parts = max(1, n * len(masks) * words // TASK_ROWS + 1)
-    mask = F.get(F.array(*[F.lit(m) for m in masks]), F.col("trie") % len(masks))
-    return rows.repartition(parts, "trie", F.col("fp").bitwiseAND(mask)).mapInArrow(_walk(bits, masks), "a long, b long")
+    rows, masks = _dealt(nodes, n, bits, words)
+    return rows.mapInArrow(_walk(bits, masks), "a long, b long")
 
 
 def near_groups(prints: DataFrame, doc_id: str, bits: int, words: int = 1) -> DataFrame:
@@ -274,15 +346,71 @@ def near_groups(prints: DataFrame, doc_id: str, bits: int, words: int = 1) -> Da
     return join_facts(prints.withColumn("node", node), labelled, "node", "_llm_copies", total).drop("node")
 
 
+def _verified(pairs: DataFrame, n: int, bodies: DataFrame, shingle: int, line: float) -> DataFrame:
+    """The pairs (a, b; saved, n in number) whose shingle sets have a Jaccard similarity of ``line`` or more. ``bodies`` has
+    the binary _llm_text of every node."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    uses = saved(ends.groupBy("node").agg(F.count("*").alias("_llm_uses")), "uses")
+    sets = bodies.join(uses.select("node"), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(
+        _shingle_sets(shingle), "node long, shingles array<long>")
+    sets = saved(sets.join(uses, "node"), "sets")
+    left = join_facts(pairs.withColumnRenamed("a", "node"), sets, "node", "_llm_uses", n).select(
+        F.col("node").alias("a"), F.col("b").alias("node"), F.col("shingles").alias("_llm_left"))
+    both = join_facts(left, sets, "node", "_llm_uses", n)
+    shared = F.size(F.array_intersect("_llm_left", "shingles"))
+    union = F.size("_llm_left") + F.size("shingles") - shared
+    return saved(both.filter(shared >= line * union - SLACK).select("a", F.col("node").alias("b")), "verified")
+
+
+def similar_groups(prints: DataFrame, bodies: DataFrame, bits: int, words: int, shingle: int, line: float) -> DataFrame:
+    """``prints`` (saved; _llm_id, _llm_tie, node, size, fp0, ...) with _llm_root, which names the component of the pairs
+    that differ in at most ``bits`` bits in one of their words and are similar by ``line`` or more. node stands for a shingle
+    set, size is its size; ``bodies`` has node and _llm_text of every document that is the first of its set.
+
+    Forests of candidates are compared first and connect the dense groups. When that stops to pay, every candidate between
+    nodes that are not connected is compared, so none is lost because a forest took another in its place.
+    """
+    fps = [f"fp{k}" for k in range(words)]
+    classes = saved(prints.groupBy("node").agg(F.min(F.struct("size", *fps)).alias("f"), F.count("*").alias("_llm_copies"))
+                    .select("node", "_llm_copies", "f.*").withColumn("label", F.col("node")), "classes")
+    count, total = classes.agg(F.count("*"), F.coalesce(F.sum("_llm_copies"), F.lit(0))).first()
+    links, every = None, False
+    while True:
+        rows, masks = _dealt(classes, count, bits, words, "label", "size")
+        pairs = rows.mapInArrow(_walk_candidates(bits, masks, every, line), "a long, b long")
+        pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        n = pairs.count()
+        if n:
+            good = _verified(pairs, n, bodies, shingle, line)
+            made = good.count()
+            links = good if links is None else links.unionByName(good)
+            roots = components(links)
+            classes = saved(classes.drop("label").join(roots, "node", "left").withColumn(
+                "label", F.coalesce("root", "node")).drop("root"), "labels")
+        if every or not n:
+            break
+        every = 2 * made < n
+    labelled = classes.select("node", F.col("label").alias("_llm_root"), "_llm_copies")
+    return join_facts(prints, labelled, "node", "_llm_copies", total)
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, bits: int = 8,
-                words: int = 3) -> DataFrame:
+                words: int = 3, line: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one of the smallest id (nulls last), then of
-    the smallest text hash. Several fingerprint words of the same shingles raise the share of similar pairs that are
-    found without a wider budget. Rows equal in id and text are copies, so one of them stays."""
+    the smallest text hash. Groups are the components of the pairs whose shingle sets have a Jaccard similarity of ``line``
+    or more, of those that the fingerprints find: several words of the same shingles raise their share without a wider
+    budget. Rows equal in id and text are copies, so one of them stays."""
     keyed = docs.withColumn("_llm_tie", F.xxhash64(text))
-    prints = saved(fingerprints(keyed.withColumn("_llm_id", F.col(doc_id)), ["_llm_id", "_llm_tie"], shingle, words, text), "prints")
+    body = keyed.select(F.col(doc_id).alias("_llm_id"), "_llm_tie", F.col(text).cast("binary").alias("_llm_text"))
+    kind = body.schema["_llm_id"].dataType.simpleString()
+    schema = f"_llm_id {kind}, _llm_tie long, node long, size long, " + ", ".join(f"fp{k} long" for k in range(words))
+    prints = saved(body.mapInArrow(_shingled(shingle, words), schema), "prints")
     first = F.min(F.struct(F.col("_llm_id").isNull().alias("none"), F.col("_llm_id").alias("id"), F.col("_llm_tie").alias("tie")))
-    chosen = saved(near_groups(prints, "_llm_id", bits, words).groupBy("_llm_root").agg(first.alias("first")).select(
+    ends = saved(prints.groupBy("node").agg(first.alias("first")).select(
+        F.col("first.id").alias("_llm_end"), F.col("first.tie").alias("_llm_end_tie"), F.col("node")), "ends")
+    bodies = body.join(ends, F.col("_llm_id").eqNullSafe(F.col("_llm_end")) & (F.col("_llm_tie") == F.col("_llm_end_tie"))).select(
+        "node", "_llm_text")
+    chosen = saved(similar_groups(prints, bodies, bits, words, shingle, line).groupBy("_llm_root").agg(first.alias("first")).select(
         F.col("first.id").alias("_llm_first"), F.col("first.tie").alias("_llm_first_tie")), "chosen")
     stay = keyed.join(chosen, F.col(doc_id).eqNullSafe(F.col("_llm_first")) & (F.col("_llm_tie") == F.col("_llm_first_tie")), "left_semi")
     return stay.dropDuplicates([doc_id, "_llm_tie"]).select(*docs.columns)
