@@ -377,3 +377,31 @@ def test_one_of_each_line(spark):
             else:
                 failed += 1
     assert failed > 20 and {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(root.values())
+
+
+# --- passages word by word -----------------------------------------------------------------------
+
+def removed_by_windows(rows, split, n=passages.MIN_WORDS):
+    """What should stay of each (doc_id, text): an independent list of all windows of n words."""
+    first, stay = set(), {}
+    for i, text in sorted(rows):
+        w = split(text)
+        gone = set()
+        for k in range(len(w) - n + 1):
+            window = tuple(x.lower() for x in w[k:k + n])
+            if window in first:
+                gone |= set(range(k, k + n))
+            first.add(window)
+        stay[i] = [x for k, x in enumerate(w) if k not in gone]
+    return stay
+
+
+def test_passages_follow_one_text(spark):
+    """Words that each occur earlier are no passage: names and capitalised words in another order stay."""
+    draw = np.random.default_rng(5)
+    names = [f"Name{i}" for i in range(60)]
+    rows = [(i, " ".join(names[k] for k in draw.permutation(60))) for i in range(12)]
+    rows.append((12, " ".join(rows[3][1].split()[10:40] + rows[5][1].split()[:15] + rows[7][1].split()[20:45])))
+    out = passages.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text.split() for r in out} == removed_by_windows(rows, str.split)
+    assert len(next(r.text.split() for r in out if r.doc_id == 12)) == 15

@@ -1,13 +1,18 @@
-"""Substring dedup by hashing lines and their sentences.
+"""Substring dedup by hashing windows of words.
 
-A text is cut into units at line ends, after sentence ends and before a capitalised word, so that a passage copied into
-the middle of a line is cut inside as it is elsewhere. Units are normalised (lower case, single spaces) and hashed to
-128 bits; the digests are grouped over all documents and the earliest occurrence by (rank, text hash, place) is kept.
-A run of later occurrences that follow each other is removed if it has ``min_words`` words or more, so that short
-sentences which recur by chance stay. An earliest occurrence is never removed, so every unit survives once.
+A text is a row of words in lower case. Every window of ``min_words`` words that follow each other is looked at, wherever
+it begins; one that occurs at an earlier place by (rank, text hash, place) is removed, and so a passage goes word by word
+from its first shared word to its last. A word is removed only as part of a run of ``min_words`` words or more that stand
+in this order in one earlier place, so short sentences and names which recur by chance stay. The earliest occurrence of a
+word is never removed, so every word survives once.
+
+Most windows occur once, so they are not grouped themselves at first. Each is given a seed, the least hash of the runs of
+half its words inside it. Equal windows have equal seeds and neighbours mostly share theirs, so seeds are few; only windows
+whose seed occurs more than once are digested (128 bits) and grouped over all documents.
 
 Null text stays null, empty text empty. Rows that equal each other in rank and text are one document here and are
-treated alike. Rank nulls come last. Removed spans are given as (start, length) in code points of the original text.
+treated alike. Rank nulls come last. Removed spans are given as (start, length) in code points of the original text. Units,
+the pieces at line ends, after sentence ends and before a capitalised word, are what the number of removed units counts.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,6 +31,9 @@ from tickframe.llm.common import batches, join_facts, saved
 MIN_WORDS = 20
 _CUT = re.compile(r"[ \t\r\f\v]*\n\s*|(?<=[.!?])[ \t]+|[ \t]+(?=[^\W\d_a-zß-öø-ÿ])")
 
+_TOKEN = re.compile(r"\S+")
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
 
 def units(text: str) -> Iterator[tuple[int, int, int]]:
     """(start, end, end with the white space after it) of every unit that is not blank."""
@@ -43,22 +52,104 @@ def normalised(unit: str) -> tuple[bytes, int]:
     return xxhash.xxh3_128_digest(" ".join(words).encode()), len(words)
 
 
-def _units(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches(source, 1 << 20):
-        rank, tie, text = (batch.column(c).to_pylist() for c in ("_llm_rank", "_llm_tie", "_llm_text"))
-        rows: list[list] = [[], [], [], []]
-        for r, t, body in zip(rank, tie, text):
-            for i, (a, b, _) in enumerate(units(body or "")):
-                for to, value in zip(rows, (r, t, i, normalised(body[a:b])[0])):
-                    to.append(value)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows[0], batch.schema.field("_llm_rank").type), pa.array(rows[1], pa.int64()),
-             pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.binary())],
-            names=["_llm_rank", "_llm_tie", "_llm_unit", "_llm_digest"])
+def tokens(text: str) -> list[str]:
+    """The words of a text, in lower case."""
+    return text.lower().split()
+
+
+def run_hashes(words: list[str], n: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``n`` words."""
+    if len(words) < n:
+        return np.empty(0, np.uint64)
+    digest = xxhash.xxh3_64_intdigest
+    own = np.fromiter((digest(w) for w in words), np.uint64, len(words))
+    out = np.zeros(len(words) - n + 1, np.uint64)
+    for i in range(n):
+        out = out * _STEP + own[i:i + len(out)]
+    out ^= out >> np.uint64(32)
+    return out * _MIX
+
+
+def seeds(words: list[str], min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The seed of every window of ``min_words`` words and the place of its run, the first if it is there twice."""
+    half = max(1, min_words // 2)
+    if len(words) < min_words:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    runs = run_hashes(words, half)
+    least = np.lib.stride_tricks.sliding_window_view(runs, min_words - half + 1).argmin(1)
+    places = least + np.arange(len(least))
+    return runs[places], places
+
+
+def _seeds(min_words: int):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source, 1 << 20):
+            at, found = [], []
+            for k, body in enumerate(batch.column("_llm_text").to_pylist()):
+                own, places = seeds(tokens(body), min_words)
+                # once for each place, which neighbouring windows share; a text that repeats itself has it at several
+                own = own[np.concatenate(([True], places[1:] != places[:-1]))] if len(own) else own
+                at.append(np.full(len(own), k))
+                found.append(own)
+            at = pa.array(np.concatenate(at)) if at else pa.array([], pa.int64())
+            found = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_llm_rank").take(at), batch.column("_llm_tie").take(at), pa.array(found)],
+                names=["_llm_rank", "_llm_tie", "_llm_seed"])
+
+    return run
+
+
+def _windows(min_words: int):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source, 1 << 18):
+            at, places, digests = [], [], []
+            for k, (body, shared) in enumerate(zip(batch.column("_llm_text").to_pylist(), batch.column("_llm_seeds"))):
+                words = tokens(body)
+                hit = np.flatnonzero(np.isin(seeds(words, min_words)[0], shared.values.to_numpy().view(np.uint64)))
+                at.append(np.full(len(hit), k))
+                places.append(hit)
+                digests += [xxhash.xxh3_128_digest(" ".join(words[i:i + min_words])) for i in hit.tolist()]
+            at = pa.array(np.concatenate(at)) if at else pa.array([], pa.int64())
+            places = np.concatenate(places) if places else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_llm_rank").take(at), batch.column("_llm_tie").take(at), pa.array(places, pa.int32()),
+                 pa.array(digests, pa.binary())], names=["_llm_rank", "_llm_tie", "_llm_word", "_llm_digest"])
+
+    return run
+
+
+def without_windows(text: str, later: list[int], min_words: int) -> tuple[str, list[tuple[int, int]], int]:
+    """The text without its windows that occur earlier, the spans removed and the number of units wholly removed.
+    ``later`` holds the first words of those windows, in order."""
+    starts = [m.start() for m in _TOKEN.finditer(text)]
+    starts.append(len(text))
+    runs: list[list[int]] = []
+    for i in later:
+        if runs and i <= runs[-1][1]:
+            runs[-1][1] = i + min_words
+        else:
+            runs.append([i, i + min_words])
+    spans = [(starts[a], starts[b] - starts[a]) for a, b in runs]
+    removed, k = 0, 0
+    for a, b, _ in units(text):
+        while k < len(spans) and sum(spans[k]) < b:
+            k += 1
+        removed += k < len(spans) and spans[k][0] <= a
+    return _without(text, spans), spans, removed
+
+
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    kept, at = [], 0
+    for start, length in spans:
+        kept.append(text[at:start])
+        at = start + length
+    kept.append(text[at:])
+    return "".join(kept)
 
 
 def cleaned(text: str, later: list[int], min_words: int) -> tuple[str, list[tuple[int, int]], int]:
-    """The text without its runs of later occurrences, the spans removed and the number of units removed. ``later``
+    """By whole units: the text without its runs of later occurrences, the spans removed and the number of units removed. ``later``
     holds the places of units that occur earlier, in order."""
     marks, spans, run, words, removed = set(later), [], [], 0, 0
 
@@ -76,12 +167,7 @@ def cleaned(text: str, later: list[int], min_words: int) -> tuple[str, list[tupl
         else:
             close()
     close()
-    kept, at = [], 0
-    for start, length in spans:
-        kept.append(text[at:start])
-        at = start + length
-    kept.append(text[at:])
-    return "".join(kept), spans, removed
+    return _without(text, spans), spans, removed
 
 
 def _clean(min_words: int, columns: list[str], schema: pa.Schema | None = None):
@@ -92,7 +178,7 @@ def _clean(min_words: int, columns: list[str], schema: pa.Schema | None = None):
                 if text is None or not later:
                     out.append((text, [], 0))
                 else:
-                    out.append(cleaned(text, later, min_words))
+                    out.append(without_windows(text, later, min_words))
             kept = [batch.column(c) for c in columns]
             spans = pa.array([[{"start": s, "length": n} for s, n in o[1]] for o in out],
                              pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
@@ -103,24 +189,29 @@ def _clean(min_words: int, columns: list[str], schema: pa.Schema | None = None):
     return run
 
 
-def later_units(docs: DataFrame, rank: str, text: str) -> DataFrame:
-    """(_llm_rank, _llm_tie, _llm_later): for every document with one, the places of units that occur earlier."""
+def later_windows(docs: DataFrame, rank: str, text: str, min_words: int) -> DataFrame:
+    """(_llm_rank, _llm_tie, _llm_later): for every document with one, the first words of windows that occur earlier."""
     body = docs.select(F.col(rank).alias("_llm_rank"), F.xxhash64(text).alias("_llm_tie"), F.col(text).alias("_llm_text"))
+    body = body.filter("_llm_text is not null")
     kind = body.schema["_llm_rank"].dataType.simpleString()
-    found = saved(body.filter("_llm_text is not null").mapInArrow(
-        _units, f"_llm_rank {kind}, _llm_tie long, _llm_unit int, _llm_digest binary"), "units")
-    place = F.struct(F.col("_llm_rank").isNull().alias("none"), "_llm_rank", "_llm_tie", "_llm_unit")
+    seeded = saved(body.mapInArrow(_seeds(min_words), f"_llm_rank {kind}, _llm_tie long, _llm_seed long"), "seeds")
+    often = saved(seeded.groupBy("_llm_seed").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    some = join_facts(seeded, often, "_llm_seed", "n", seeded.count()).groupBy("_llm_rank", "_llm_tie").agg(
+        F.collect_set("_llm_seed").alias("_llm_seeds")).withColumnsRenamed({"_llm_rank": "_llm_r", "_llm_tie": "_llm_t"})
+    narrow = body.join(some, F.col("_llm_rank").eqNullSafe(F.col("_llm_r")) & (F.col("_llm_tie") == F.col("_llm_t"))).select(
+        "_llm_rank", "_llm_tie", "_llm_text", "_llm_seeds")
+    found = saved(narrow.mapInArrow(
+        _windows(min_words), f"_llm_rank {kind}, _llm_tie long, _llm_word int, _llm_digest binary"), "windows")
+    place = F.struct(F.col("_llm_rank").isNull().alias("none"), "_llm_rank", "_llm_tie", "_llm_word")
     shared = found.groupBy("_llm_digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    shared = saved(shared, "shared")
-    total = found.count()
-    hits = join_facts(found, shared, "_llm_digest", "n", total)
+    hits = join_facts(found, saved(shared, "shared"), "_llm_digest", "n", found.count())
     later = hits.filter(~(place == F.col("first")))
-    return later.groupBy("_llm_rank", "_llm_tie").agg(F.sort_array(F.collect_set("_llm_unit")).alias("_llm_later"))
+    return later.groupBy("_llm_rank", "_llm_tie").agg(F.sort_array(F.collect_set("_llm_word")).alias("_llm_later"))
 
 
 def without_repeats(docs: DataFrame, rank: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the text cleaned and the columns _llm_removed (spans) and _llm_n_removed (units)."""
-    later = later_units(docs, rank, text).withColumnsRenamed({"_llm_rank": "_llm_r", "_llm_tie": "_llm_t"})
+    later = later_windows(docs, rank, text, min_words).withColumnsRenamed({"_llm_rank": "_llm_r", "_llm_tie": "_llm_t"})
     keyed = docs.withColumn("_llm_t0", F.xxhash64(text))
     joined = keyed.join(later, keyed[rank].eqNullSafe(later["_llm_r"]) & (F.col("_llm_t0") == F.col("_llm_t")), "left")
     columns = [c for c in docs.columns if c != text]
