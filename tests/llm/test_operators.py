@@ -405,3 +405,23 @@ def test_passages_follow_one_text(spark):
     out = passages.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.text.split() for r in out} == removed_by_windows(rows, str.split)
     assert len(next(r.text.split() for r in out if r.doc_id == 12)) == 15
+
+
+def test_passages_word_by_word(spark):
+    """Passages that begin and end inside units, and of scripts without spaces, go from their first to their last word."""
+    import re
+
+    draw = np.random.default_rng(8)
+    word = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    shared = word("s", 25)
+    han = "".join(chr(0x4E00 + int(k)) for k in draw.permutation(5000)[:60])
+    thai = "".join(chr(0x0E01 + int(k)) for k in draw.integers(0, 46, 90))
+    rows = [(0, f"{word(0, 30)} {shared} {word(1, 30)}"), (1, f"{word(2, 7)} {shared} {word(3, 7)}"),
+            (2, f"One two. {word(1, 30).replace('w1x9 ', 'w1x9. ')} end"), (3, f"一{han}二。"), (4, f"三{han}四。"), (5, f"a {thai} b"),
+            (6, f"c {thai}. d"), (7, f"{word(2, 7)} {word('s', 19)}"), (8, f"五{han[:19]}六")]
+    out = passages.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    split = lambda t: re.findall(r"[\u0e01-\u0e5b\u4e00-\u9fff]|[^\s\u0e01-\u0e5b\u4e00-\u9fff]+", t)
+    assert {r.doc_id: split(r.text) for r in out} == removed_by_windows(rows, split)
+    text = {r.doc_id: r.text for r in out}
+    assert text[1] == f"{word(2, 7)} {word(3, 7)}" and text[4] == "三四。" and text[6] == "c . d" and text[8] == rows[8][1]
+    assert [(s.start, s.length) for s in next(r for r in out if r.doc_id == 4)._llm_removed] == [(1, 60)]

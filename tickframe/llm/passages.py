@@ -1,6 +1,6 @@
 """Substring dedup by hashing windows of words.
 
-A text is a row of words in lower case. Every window of ``min_words`` words that follow each other is looked at, wherever
+A text is a row of words in lower case, of characters where a script has no spaces between words. Every window of ``min_words`` words that follow each other is looked at, wherever
 it begins; one that occurs at an earlier place by (rank, text hash, place) is removed, and so a passage goes word by word
 from its first shared word to its last. A word is removed only as part of a run of ``min_words`` words or more that stand
 in this order in one earlier place, so short sentences and names which recur by chance stay. The earliest occurrence of a
@@ -31,7 +31,9 @@ from tickframe.llm.common import batches, join_facts, saved
 MIN_WORDS = 20
 _CUT = re.compile(r"[ \t\r\f\v]*\n\s*|(?<=[.!?])[ \t]+|[ \t]+(?=[^\W\d_a-zß-öø-ÿ])")
 
-_TOKEN = re.compile(r"\S+")
+#: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, Japanese, Chinese.
+_CLOSE = r"\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_TOKEN, _CLOSED = re.compile(rf"[{_CLOSE}]|[^\s{_CLOSE}]+"), re.compile(f"[{_CLOSE}]")
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -53,8 +55,8 @@ def normalised(unit: str) -> tuple[bytes, int]:
 
 
 def tokens(text: str) -> list[str]:
-    """The words of a text, in lower case."""
-    return text.lower().split()
+    """The words of a text, in lower case; each character is one where a script has no spaces between words."""
+    return _TOKEN.findall(text.lower()) if _CLOSED.search(text) else text.lower().split()
 
 
 def run_hashes(words: list[str], n: int) -> np.ndarray:
