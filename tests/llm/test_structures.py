@@ -264,3 +264,13 @@ def test_estimates_find_the_rules_that_know():
     assert 0.85 < share < 0.95 and right[0][1] > 0.9
     assert rules.posterior(bad, share, right) < 0.5 < rules.posterior(good, share, right)
     assert rules.estimate([])[0] == pytest.approx(0.5)
+
+
+def test_hidden_elements_end():
+    """Custom and self-closed elements hide nothing behind them; only script and style run on when they are not closed."""
+    said = lambda html: " ".join(b.text for b in htmltext.leaf_blocks(html))
+    for html in ('<svg-icon name="x"></svg-icon>', '<svg class="i"/>', '<svg class="i" />', "<video-js></video-js>", "<audio-player>", "<object-x/>",
+                 "<math/>", "<svg viewBox='0 0 1 1'>", "<video src=x>", '<svg a=">"><title>no</title></svg>', '<svg/><svg><text>no</text></svg>',
+                 "<script>no</script>", "<script-x></script-x>", "<svg\n>no</svg\n>", "<noscript>no</noscript>", '<script data-x="/">no</script>'):
+        assert said(html + "<p>article text</p>") == "article text", html
+    assert said("<p>seen</p><script>no <p>no</p>") == said("<p>seen</p><style>no") == "seen"

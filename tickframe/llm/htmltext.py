@@ -43,7 +43,11 @@ ENDS_ITSELF = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"
 STOPS_AT = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"),
             "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "p": ()}
 
-_RAW = r"<(?P<raw>script|style|noscript|template|svg|math|object|iframe|canvas|audio|video)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+#: Elements whose text is never shown, whole. A name ends at a space, slash or >, so svg-icon is not svg; <svg/> is empty. Only
+#: script and style run to the end of the page when they are not closed; others then count as a tag like any.
+_RAW = (r"<(?:svg|math)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<=/)>"
+        r"|<(?P<raw>noscript|template|svg|math|object|iframe|canvas|audio|video)(?=[\s/>])[^>]*>.*?</(?P=raw)\s*>"
+        r"|<(?P<code>script|style)(?=[\s/>])[^>]*>.*?(?:</(?P=code)\s*>|\Z)")
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|" + _RAW
     + r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
