@@ -100,3 +100,51 @@ placed AS (SELECT t.*, (coalesce(p.k, 0) + path_worth * host_rate) / (coalesce(p
 judged AS (SELECT *, 1 / (1 + exp(-(ln(path_rate / (1 - path_rate)) + evidence))) AS p FROM placed)
 SELECT doc_id, round(host_rate, 6) AS host_rate, round(path_rate, 6) AS path_rate, round(evidence, 6) AS evidence,
   round(p, 6) AS p_quality, p >= 0.5 AS kept FROM judged"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+RANKED_SEARCH = rf"""WITH counted AS (
+  SELECT doc_id, term, count(*) AS tf FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '{_TERM}')) AS term FROM documents) GROUP BY ALL),
+sized AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counted GROUP BY doc_id),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sized),
+weighted AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+  FROM counted, whole GROUP BY term),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWERED}, '{_TERM}')) AS term FROM benchmark),
+scored AS (
+  SELECT a.item_id, c.doc_id, CAST(sum(w.w * ((1000000000 * c.tf) // (1000 * c.tf + 8 * (10 + (90 * s.n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked a JOIN counted c USING (term) JOIN weighted w USING (term) JOIN sized s ON s.doc_id = c.doc_id, whole GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+#: crc32 by its table of 256 remainders, byte by byte; words; near words by what is left when one place is taken out of both.
+SPELLING = r"""WITH RECURSIVE bits AS (
+  SELECT i, CAST(i AS BIGINT) AS c, 0 AS step FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8),
+runs AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents WHERE text IS NOT NULL) WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (
+  SELECT run, k, xor(4294967295, list_reduce(
+    list_prepend(4294967295, [CAST(('0x' || substr(hexed, 2 * CAST(j AS INTEGER) - 1, 2)) AS BIGINT) FOR j IN range(1, length(hexed) // 2 + 1)]),
+    lambda a, b : xor(a >> 8, t[1 + (xor(a, b) & 255)]))) AS h
+  FROM (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS hexed FROM runs), crc),
+spelled AS (SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+holes AS (SELECT word, n, length(word) AS size, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+  UNION SELECT DISTINCT a.word, w.word, w.n FROM holes a JOIN words w ON w.word = a.rest
+  UNION SELECT DISTINCT w.word, a.word, a.n FROM holes a JOIN words w ON w.word = a.rest),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM pairs GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form,
+    CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+walk AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT k.word, f.word, f.form FROM walk k JOIN formed f ON f.word = k.next)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN walk r ON r.word = f.word AND r.next IS NULL"""

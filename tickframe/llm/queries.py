@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import checks, hostquality, htmltext, langid, lm, merkle, mixing, packing, passages, rules, simhash
+from tickframe.llm import checks, hostquality, htmltext, langid, lm, merkle, mixing, packing, passages, ranked, rules, simhash, spelling
 from tickframe.llm.common import crc_bucket, saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,5 +111,18 @@ def op10_quality_rules(spark, sf_dir):
                            "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
+@query
+def op11_ranked_search(spark, sf_dir):
+    indexed = ranked.index(table(spark, sf_dir, "documents"))
+    return ranked.search(indexed, table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_spelling"] = checks.SPELLING
+ORACLES["op11_ranked_search"] = checks.RANKED_SEARCH
 ORACLES["op10_quality_rules"] = checks.QUALITY_RULES
 ORACLES["op9_host_quality"] = checks.HOST_QUALITY
