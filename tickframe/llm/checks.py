@@ -5,6 +5,8 @@ from __future__ import annotations
 from tickframe.llm.hostquality import FEATURES as BIN_FEATURES
 from tickframe.llm.hostquality import LEAST_PRIOR, MOST_PRIOR, SMOOTH, bin_sql
 from tickframe.llm.rules import ROUNDS, RULES, START_GOOD, START_RIGHT, WINDOW
+from tickframe.llm.urlfilter import DEPTH, FOLDS, PRIOR, RATE, RIDGE, SAMPLE, TREES
+from tickframe.llm.urlfilter import FEATURES as URL_FEATURES
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -148,3 +150,83 @@ walk AS (
   SELECT word, word AS root, form AS next FROM formed
   UNION ALL SELECT k.word, f.word, f.form FROM walk k JOIN formed f ON f.word = k.next)
 SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN walk r ON r.word = f.word AND r.next IS NULL"""
+
+def _fits(host: str, path: str) -> str:
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+
+def _share(level: str) -> str:
+    """Blocked share among the labelled URLs of the level, those of the row's own fold left out."""
+    return (f"""{level}_all AS (SELECT {level}, coalesce(sum(label), 0) AS k, count(label) AS n FROM urls GROUP BY {level}),
+{level}_own AS (SELECT {level}, fold, coalesce(sum(label), 0) AS k, count(label) AS n FROM urls WHERE label IS NOT NULL GROUP BY {level}, fold),
+{level}_shares AS (
+  SELECT u.row, round((a.k - CASE WHEN u.label IS NULL THEN 0 ELSE o.k END + {PRIOR} * overall)
+    / (a.n - CASE WHEN u.label IS NULL THEN 0 ELSE o.n END + {PRIOR}), 6) AS {level}_share
+  FROM urls u CROSS JOIN whole JOIN {level}_all a ON a.{level} = u.{level} LEFT JOIN {level}_own o ON o.{level} = u.{level} AND o.fold = u.fold)""")
+
+
+def _url_node(level: int, tree: int) -> str:
+    """Node number of a row after ``level`` splits of a tree."""
+    return " + ".join(["0"] + [f"CASE WHEN bins[s{tree}_{d}.f] >= s{tree}_{d}.c THEN {1 << d} ELSE 0 END" for d in range(level)])
+
+
+def _url_trees() -> str:
+    cuts = ", ".join(f"({f + 1}, {c})" for f, (_, bounds) in enumerate(URL_FEATURES) for c in range(1, len(bounds) + 1))
+    text = f"""cuts AS (SELECT * FROM (VALUES {cuts}) t(f, c)),
+m0 AS (SELECT *, ln((sum(k) OVER () + 1) / (sum(n) OVER () - sum(k) OVER () + 1)) AS margin FROM grouped)"""
+    for t in range(TREES):
+        text += f""",
+g{t} AS MATERIALIZED (SELECT bins, k - n * p AS g, n * p * (1 - p) AS h FROM (SELECT *, 1 / (1 + exp(-margin)) AS p FROM m{t}))"""
+        for d in range(DEPTH):
+            before = "".join(f", s{t}_{e}" for e in range(d))
+            text += f""",
+c{t}_{d} AS (SELECT {_url_node(d, t)} AS node, e.f, bins[e.f] AS b, g, h FROM g{t}{before}, (SELECT unnest(range(1, {len(URL_FEATURES) + 1})) AS f) e),
+w{t}_{d} AS (SELECT f, c, node, sum(g) FILTER (b >= c) AS gr, sum(h) FILTER (b >= c) AS hr, sum(g) FILTER (b < c) AS gl, sum(h) FILTER (b < c) AS hl
+  FROM c{t}_{d} JOIN cuts USING (f) GROUP BY ALL),
+s{t}_{d} AS MATERIALIZED (SELECT f, c FROM w{t}_{d} GROUP BY ALL ORDER BY round(sum(coalesce(gr * gr / (hr + {RIDGE}), 0) + coalesce(gl * gl / (hl + {RIDGE}), 0)), 9) DESC,
+  f, c LIMIT 1)"""
+        every = "".join(f", s{t}_{d}" for d in range(DEPTH))
+        node = _url_node(DEPTH, t)
+        text += f""",
+v{t} AS MATERIALIZED (SELECT {node} AS node, {RATE} * sum(g) / (sum(h) + {RIDGE}) AS value FROM g{t}{every} GROUP BY ALL),
+m{t + 1} AS MATERIALIZED (SELECT m{t}.bins, k, n, margin + value AS margin FROM m{t}{every} JOIN v{t} ON v{t}.node = {node}),
+q{t + 1} AS MATERIALIZED (SELECT q{t}.row, q{t}.bins, margin + coalesce(value, 0) AS margin FROM q{t}{every} LEFT JOIN v{t} ON v{t}.node = {node})"""
+    return text
+
+
+def _url_filter() -> str:
+    after = "CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+    bins = ", ".join(" + ".join(f"CASE WHEN {name} >= {b} THEN 1 ELSE 0 END" for b in bounds) for name, bounds in URL_FEATURES)
+    names = ", ".join(name for name, _ in URL_FEATURES)
+    fits = " ".join(f"WHEN {_fits(host, path)} THEN '{host}{path}'" for host, path in (
+        ("example.com", "/de/"), ("example.net", "/en/"), ("org", "/fr/"), ("net", "/")))
+    return rf"""WITH parts AS (
+  SELECT page_id, coalesce(url, '') AS url, translate(regexp_extract({after}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract({after}, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract({after}, '^[^/?#]*[^?#]*(?:\?([^#]*))?', 1) AS query FROM pages),
+ruled AS (SELECT *, CASE {fits} END AS rule FROM parts),
+urls AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS label,
+    CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) AS digest, CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % {FOLDS} AS fold,
+    string_split(host, '.')[-1] AS last, array_to_string(list_reverse(string_split(host, '.'))[1:2], '.') AS site,
+    length(url) AS url_length, length(host) AS host_length, len([x FOR x IN string_split(path, '/') IF x <> '']) AS depth,
+    CASE WHEN url = '' THEN 0 ELSE round(length(regexp_replace(url, '[^0-9]+', '', 'g')) / length(url), 6) END AS digit_share,
+    CASE WHEN url = '' THEN 0 ELSE round(log2(length(url)) - list_sum([(length(url) - length(replace(url, c, ''))) * log2(length(url) - length(replace(url, c, '')))
+      FOR c IN list_distinct(regexp_extract_all(url, '(?s).'))]) / length(url), 6) END AS entropy,
+    len([x FOR x IN string_split(query, '&') IF x <> '']) AS n_params, len([x FOR x IN string_split(host, '.') IF x <> '']) AS n_labels,
+    length(host) - length(replace(host, '-', '')) AS n_hyphens
+  FROM ruled),
+whole AS (SELECT (coalesce(sum(label), 0) + 1) / (count(label) + 2) AS overall FROM urls),
+{_share('last')},
+{_share('site')},
+{_share('host')},
+featured AS MATERIALIZED (SELECT * FROM urls JOIN last_shares USING (row) JOIN site_shares USING (row) JOIN host_shares USING (row)),
+binned AS MATERIALIZED (SELECT row, label, digest, [{bins}] AS bins, {names} FROM featured),
+drawn AS (SELECT * FROM binned WHERE label IS NOT NULL ORDER BY digest, label, {names} LIMIT {SAMPLE}),
+grouped AS MATERIALIZED (SELECT bins, CAST(sum(label) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM drawn GROUP BY bins),
+q0 AS (SELECT row, bins, (SELECT ln((coalesce(sum(k), 0) + 1) / (coalesce(sum(n) - sum(k), 0) + 1)) FROM grouped) AS margin FROM binned),
+{_url_trees()}
+SELECT page_id, host, path, rule, CASE WHEN label = 1 THEN 'block' WHEN label = 0 THEN 'allow' WHEN p > 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(p, 6) AS p_block
+FROM urls JOIN (SELECT row, 1 / (1 + exp(-margin)) AS p FROM q{TREES}) USING (row)"""
+
+
+URL_FILTER = _url_filter()

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import checks, hostquality, htmltext, langid, lm, merkle, mixing, packing, passages, ranked, rules, simhash, spelling
+from tickframe.llm import (
+    checks, hostquality, htmltext, langid, lm, merkle, mixing, packing, passages, ranked, rules, simhash, spelling, urlfilter,
+)
 from tickframe.llm.common import crc_bucket, saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +124,13 @@ def op12_spelling(spark, sf_dir):
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_url_filter(spark, sf_dir):
+    judged = urlfilter.judge(table(spark, sf_dir, "pages"), ("page_id",))
+    return judged.withColumn("p_block", F.round("p_block", 6))
+
+
+ORACLES["op13_url_filter"] = checks.URL_FILTER
 ORACLES["op12_spelling"] = checks.SPELLING
 ORACLES["op11_ranked_search"] = checks.RANKED_SEARCH
 ORACLES["op10_quality_rules"] = checks.QUALITY_RULES
