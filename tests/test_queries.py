@@ -1,6 +1,9 @@
 """The registered queries against their check SQL at the smallest scale (the driver checks all at sf0.01)."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -47,3 +50,16 @@ def test_large_joins_are_keyed(spark, closes_frame, spans_frame):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_entry_works_without_the_text_operators(tmp_path):
+    """Without tickframe/llm and tests/llm the contract still imports and its queries run, corpus_pipeline.py or not."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "tickframe"), tmp_path / "tickframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(os.path.join(root, name)):
+            shutil.copy(os.path.join(root, name), tmp_path)
+    code = (f"import __spark_entry__ as c; from tickframe.session import local_session; s = local_session('2', 2)\n"
+            f"assert len(c.queries()['storage_keys'](s, '{SF_DIR}').collect()) > 0 and c.oracle_sql()\n"
+            f"assert not any(n.startswith('op') or n == 'pipeline' for n in c.queries())")
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=300, env={**os.environ, "PYTHONPATH": str(tmp_path)})

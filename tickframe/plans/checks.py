@@ -312,3 +312,45 @@ firsts AS (
 resolved AS (
   SELECT e.event_id AS signal_id, coalesce(f.f.r, 'timeout') AS decision, f.f.t AS decided_at
   FROM events e LEFT JOIN firsts f ON f.signal_id = e.event_id)"""
+
+
+def newton(rounds: int) -> str:
+    """Scores of one-against-the-rest logistic models on (trgt, log_diff), by Newton steps with a penalty of 1 on the slopes.
+    A step solves its three equations by Cramer's rule."""
+    text = """,
+cast_ AS MATERIALIZED (
+  SELECT f.fold_id, f.role, l.bin AS y, 1 + abs(l.ret) AS w, l.trgt AS x1, g.log_diff AS x2
+  FROM folds_ f JOIN labels_ l ON l.symbol = f.symbol AND l.t0_seq = f.event_id
+  JOIN grid g ON g.symbol = l.symbol AND g.bar_seq = l.t0_seq),
+scales AS (SELECT fold_id, avg(x1) AS m1, stddev_pop(x1) AS d1, avg(x2) AS m2, stddev_pop(x2) AS d2 FROM cast_ WHERE role = 'train' GROUP BY fold_id),
+placed AS MATERIALIZED (
+  SELECT c.fold_id, role, y, w, coalesce(CASE WHEN d1 > 0 THEN (x1 - m1) / d1 END, 0) AS z1,
+    coalesce(CASE WHEN d2 > 0 THEN (x2 - m2) / d2 END, 0) AS z2 FROM cast_ c JOIN scales USING (fold_id)),
+beta0 AS MATERIALIZED (
+  SELECT DISTINCT fold_id, y AS c, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2 FROM placed WHERE role = 'train')"""
+    det = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))".format
+    h = ["h00", "h01", "h02", "h01", "h11", "h12", "h02", "h12", "h22"]
+    for k in range(rounds):
+        steps = []
+        for at in range(3):
+            swapped = list(h)
+            swapped[at::3] = ["g0", "g1", "g2"]
+            steps.append(f"b{at} + {det(*swapped)} / {det(*h)} AS b{at}")
+        text += f""",
+sums{k} AS (
+  SELECT fold_id, c, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2,
+    sum(s) AS g0, sum(s * z1) - any_value(b1) AS g1, sum(s * z2) - any_value(b2) AS g2, sum(v) AS h00, sum(v * z1) AS h01, sum(v * z2) AS h02,
+    sum(v * z1 * z1) + 1 AS h11, sum(v * z1 * z2) AS h12, sum(v * z2 * z2) + 1 AS h22
+  FROM (SELECT *, w * (CASE WHEN y = c THEN 1 ELSE 0 END - p) AS s, w * p * (1 - p) AS v
+    FROM (SELECT *, 1 / (1 + exp(-greatest(-30, least(30, b0 + b1 * z1 + b2 * z2)))) AS p FROM placed JOIN beta{k} USING (fold_id) WHERE role = 'train'))
+  GROUP BY fold_id, c),
+beta{k + 1} AS MATERIALIZED (SELECT fold_id, c, {", ".join(steps)} FROM sums{k})"""
+    return text + f""",
+numbered_tests AS (SELECT *, row_number() OVER () AS i FROM placed WHERE role = 'test'),
+judged AS (SELECT i, fold_id, y, w, c, 1 / (1 + exp(-(b0 + b1 * z1 + b2 * z2))) AS p FROM numbered_tests JOIN beta{rounds} USING (fold_id)),
+shared AS (
+  SELECT i, any_value(fold_id) AS fold_id, any_value(y) AS y, any_value(w) AS w, coalesce(sum(p) FILTER (c = y), 0) / sum(p) AS p,
+    first(c ORDER BY p DESC, c) AS top FROM judged GROUP BY i),
+result AS (
+  SELECT fold_id, sum(w * ln(least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16))) / sum(w) AS score,
+    sum(CASE WHEN y = top THEN w ELSE 0 END) / sum(w) AS accuracy FROM shared GROUP BY fold_id)"""

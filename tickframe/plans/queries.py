@@ -18,6 +18,7 @@ from tickframe.operators import batches, folds, ideas, indicators, review, risk,
 from tickframe.operators import weights as weight_ops
 from tickframe.operators.barriers import get_bins, get_events, vertical_barriers
 from tickframe.operators.bootstrap import sequential_bootstrap
+from tickframe.operators.fitting import fit_folds, predict_folds
 from tickframe.plans import checks as sql
 from tickframe.plans.labeling import sampled_events, triple_barrier_labels
 from tickframe.plans.output import shown, shown_sql
@@ -434,6 +435,25 @@ def logistic_scores(spark, sf_dir):
     return scoring.cv_score(samples, split, scoring.estimator_predictor(model))
 
 
+_IRLS_ROUNDS = 5
+
+
+@query("fold_id:i score:f accuracy:f", sql.LABEL_SPANS + sql.folds(5, 2, 0.01) + sql.newton(_IRLS_ROUNDS))
+def irls_scores(spark, sf_dir):
+    """Weighted logistic models of three classes on two features, fitted on all ten combinatorial folds at once."""
+    bars, labelled = _labels(spark, sf_dir)
+    changes = volatility.with_log_returns(bars).select("symbol", F.col("bar_seq").alias("t0_seq"), "log_diff")
+    samples = labelled.join(changes, ["symbol", "t0_seq"]).select(
+        "symbol", F.col("t0_seq").alias("event_id"), F.col("bin").cast("double").alias("y"), (1 + F.abs("ret")).alias("weight"), "trgt", "log_diff")
+    spans = labelled.select("symbol", F.col("t0_seq").alias("event_id"), "t0_seq", "t1_seq")
+    split = folds.combinatorial_purged_kfold(spans, bars, FOLDING.n_groups, FOLDING.n_test_groups, FOLDING.embargo_pct)
+    cast = materialize(split.select("fold_id", "symbol", "event_id", "role").join(samples, ["symbol", "event_id"]))
+    models = fit_folds(cast.filter("role = 'train'"), ["trgt", "log_diff"], _IRLS_ROUNDS)
+    tested = materialize(predict_folds(models, cast.filter("role = 'test'")))
+    accuracy = scoring.fold_scores(tested, "accuracy").withColumnRenamed("score", "accuracy")
+    return scoring.fold_scores(tested).join(accuracy, "fold_id")
+
+
 # --- candles -----------------------------------------------------------------------------------
 
 _CANDLE = "symbol:s timeframe:s timestamp:t open:f high:f low:f close:f volume:f"
