@@ -183,6 +183,21 @@ landed AS (
   WHERE copy = 0 OR hour(timestamp) % 8 = 0)"""
 
 
+#: Candles of both timeframes, and the series that a bad page fails with the reason.
+BOTH_CANDLES = CANDLES + """,
+both_ AS (
+  SELECT * FROM candles
+  UNION ALL
+  SELECT symbol, '15m', make_timestamp(CAST(floor(epoch_us(ts) / 900000000) AS BIGINT) * 900000000), arg_min(price, (ts, seq)),
+         max(price), min(price), arg_max(price, (ts, seq)), sum(amount)
+  FROM trades GROUP BY symbol, CAST(floor(epoch_us(ts) / 900000000) AS BIGINT)),
+broken AS (
+  SELECT DISTINCT b.symbol, b.timeframe, p.reason
+  FROM both_ b JOIN (VALUES ('error', '15m', 27, 'not JSON'), ('signup', '4h', 12, 'record 0 cannot be read'), ('view', '15m', 28, 'timed out'))
+    p(symbol, timeframe, day, reason)
+    ON p.symbol = b.symbol AND p.timeframe = b.timeframe AND CAST(b.timestamp AS DATE) - DATE '2024-01-01' = p.day)"""
+
+
 def indicators(source: str) -> str:
     """Recursive averages over ``source`` (symbol, timeframe, timestamp, o/h/l/c/v, bar_seq)."""
     return f""",

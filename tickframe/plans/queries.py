@@ -25,7 +25,7 @@ from tickframe.plans.output import shown, shown_sql
 from tickframe.plans.trading import audit
 from tickframe.plans.weighting import sample_weights
 from tickframe.session import materialize, scratch_path, use_utc
-from tickframe.sources import adapters, candles, catalog
+from tickframe.sources import adapters, candles, catalog, landed
 from tickframe.sources.trades import normalize_trades, read_events, read_trades, trades_from_events
 from tickframe.streaming import approvals as stream_approvals
 from tickframe.streaming import bars as stream_bars
@@ -510,14 +510,45 @@ def candle_upsert(spark, sf_dir):
     return candles.new_candles(landed, stored)
 
 
-@query("symbol:s timeframe:s candles:i", _result(sql.CANDLES, """
-SELECT symbol, timeframe, count(*) AS candles FROM candles
-WHERE timestamp BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31' GROUP BY ALL
-UNION ALL SELECT symbol, '15m', 0 FROM candles GROUP BY symbol"""))
+def _both_candles(spark, sf_dir):
+    feed = read_trades(spark, sf_dir)
+    return candles.candles_from_trades(feed, "4h", 4 * 3600).unionByName(candles.candles_from_trades(feed, "15m", 900))
+
+
+@query(_CANDLE, _result(sql.BOTH_CANDLES, "SELECT * FROM both_ ANTI JOIN broken USING (symbol, timeframe)"))
+def landed_pages(spark, sf_dir):
+    """Candles decoded from pages of JSON text; the series with a bad page are left out."""
+    return landed.candle_pages(adapters.landed_pages(_both_candles(spark, sf_dir)))[0]
+
+
+@query("symbol:s timeframe:s records:i reason:s", _result(sql.BOTH_CANDLES, """
+SELECT symbol, timeframe, CASE WHEN reason IS NULL THEN n ELSE 0 END AS records, reason
+FROM (SELECT symbol, timeframe, count(*) AS n FROM both_ GROUP BY ALL) LEFT JOIN broken USING (symbol, timeframe)"""))
+def landed_status(spark, sf_dir):
+    return landed.candle_pages(adapters.landed_pages(_both_candles(spark, sf_dir)))[1]
+
+
+@query("symbol:s seq:i ts:t price:f amount:f", _result(sql.TRADES, """
+SELECT symbol, seq // 1000 * 1000 + row_number() OVER (PARTITION BY symbol, seq // 1000 ORDER BY seq) - 1 AS seq,
+  make_timestamp(CAST(floor(epoch_us(ts) / 1000) AS BIGINT) * 1000) AS ts, price, amount FROM trades WHERE symbol <> 'error'"""))
+def landed_trades(spark, sf_dir):
+    """Trades decoded from pages of JSON objects; the symbol with a page that is no list is left out."""
+    return landed.trade_pages(adapters.landed_trade_pages(read_trades(spark, sf_dir)))[0]
+
+
+@query("symbol:s timeframe:s candles:i reason:s", _result(sql.BOTH_CANDLES, f"""
+SELECT symbol, timeframe, CASE WHEN reason IS NULL THEN coalesce(n, 0) ELSE 0 END AS candles, reason
+FROM (SELECT * FROM (SELECT DISTINCT symbol FROM both_), (VALUES ('4h'), ('15m')) t(timeframe))
+LEFT JOIN broken USING (symbol, timeframe)
+LEFT JOIN (
+  SELECT symbol, timeframe, count(*) AS n FROM both_
+  WHERE timestamp BETWEEN {sql.NOW} - CASE timeframe WHEN '4h' THEN INTERVAL 30 DAYS ELSE INTERVAL 7 DAYS END AND {sql.NOW} GROUP BY ALL)
+USING (symbol, timeframe)"""))
 def two_phase_load(spark, sf_dir):
-    loaded = candles.two_phase(_landed(spark, sf_dir), NOW, months=1, deep="4h", live="15m")
+    """Deep and recent candles loaded from landed pages, three of the series with a bad page."""
     known = ["view", "click", "signup", "purchase", "error"]
-    return candles.load_counts(loaded, known, ["4h", "15m"])
+    pages = adapters.landed_pages(_both_candles(spark, sf_dir))
+    return landed.load_two_phases(pages, scratch_path(spark, "two-phase"), NOW, known, months=1, deep="4h", live="15m")
 
 
 @query("symbol:s timeframe:s candles:i earliest:t latest:t", _result(sql.CANDLES, """

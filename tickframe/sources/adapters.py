@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickframe.scan.chunks import ordered_chunks
 from tickframe.scan.prefix import dense_position
+from tickframe.sources import landed
 from tickframe.sources.trades import read_events
 
 
@@ -76,6 +77,29 @@ def landed_candles(candles: DataFrame) -> DataFrame:
     )
 
 
+def landed_pages(candles: DataFrame) -> DataFrame:
+    """Candles as pages of a day each. One page of error/15m is cut off, one of signup/4h has a record with a word in it, and
+    the fetch of one page of view/15m failed."""
+    day = F.datediff(F.col("timestamp").cast("date"), F.lit("2024-01-01").cast("date")).cast("long")
+    fields = [F.unix_millis("timestamp"), *[F.col(c) for c in ("open", "high", "low", "close", "volume")]]
+    pages = landed.pages_of(candles, ["symbol", "timeframe"], day, "timestamp", fields, listed=True)
+    series, page = F.concat_ws("/", "symbol", "timeframe"), F.col("page_seq")
+    cut = (series == "error/15m") & (page == 27)
+    worded = (series == "signup/4h") & (page == 12)
+    return pages.withColumns({
+        "body": F.when(cut, F.expr("left(body, length(body) - 9)")).when(worded, F.regexp_replace("body", "^\\[\\[([0-9]+),[^,]*", '[[$1,"none"'))
+        .otherwise(F.col("body")),
+        "error": F.when((series == "view/15m") & (page == 28), "timed out")})
+
+
+def landed_trade_pages(trades: DataFrame) -> DataFrame:
+    """Trades as pages of records with a time in milliseconds, cut at every thousandth arrival number; one page of error is no list."""
+    page = F.floor(F.col("seq") / landed.TRADE_PAGE)
+    fields = [F.unix_millis("ts").alias("timestamp"), F.col("price").cast("double").alias("price"), F.col("amount").cast("string").alias("amount")]
+    pages = landed.pages_of(trades, ["symbol"], page, "seq", fields, listed=False)
+    return pages.withColumn("body", F.when((F.col("symbol") == "error") & (F.col("page_seq") == 0), F.lit('{"error": "busy"}')).otherwise(F.col("body")))
+
+
 def order_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as one series per priority: dense bar_seq by (date, key), close = price, and a span width."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
