@@ -149,3 +149,35 @@ def test_no_spurious_event_at_the_first_volatility(closes_frame):
     closes = np.append(100.0, 100 * np.exp(np.cumsum([0.003] * 6 + [0.0001] * 23)))
     labels = triple_barrier_labels(closes_frame(closes), LabelConfig(1.0, 5, 1.0, 1.0, 10, 0.0))
     assert 5 not in [r.t0_seq for r in labels.collect()]
+
+
+@pytest.mark.parametrize("max_hp", [1, 15, 16, 37, 255, 300])
+def test_first_touch_by_extrema_equals_walking(spark, closes_frame, max_hp):
+    """Sparse touches, so that events climb the index and descend; both sides, targets that are never met among them."""
+    rng = np.random.default_rng(max_hp)
+    series = {s: np.round(100 * np.exp(np.cumsum(rng.normal(0, 0.002, n))), 4) for s, n in (("a", 700), ("b", 256), ("c", 1))}
+    bets = [(s, t, float(rng.choice([0.001, 0.01, 0.03, 0.2])), int(rng.choice([-1, 1])), f"x{t}")
+            for s, closes in series.items() for t in range(len(closes)) if t % 3 == 0 or t > len(closes) - 20]
+    events = spark.createDataFrame(bets, "symbol string, t0_seq long, trgt double, side byte, note string")
+    got = {(r.symbol, r.t0_seq): (r.t1_seq, r.barrier, r.note) for r in first_touch(closes_frame(series), events, 1.0, 1.5, max_hp).collect()}
+    codes = set()
+    for s, t, trgt, side, note in bets:
+        closes, want = series[s], (None, None)
+        for p in range(t, min(t + max_hp, len(closes) - 1) + 1):
+            r = (closes[p] / closes[t] - 1) * side
+            if r > trgt or r < trgt * -1.5:
+                want = (p, 1 if r > 0 else -1)
+                break
+        else:
+            if t + max_hp < len(closes):
+                want = (t + max_hp, 0)
+        codes.add(want[1])
+        assert got[s, t] == (*want, note)
+    assert len(got) == len(bets) and codes == {-1, 0, 1, None}
+
+
+def test_first_touch_meets_one_row_a_step(spark, closes_frame):
+    """No row is multiplied: all joins are keyed, and nothing but the top level of the index is exploded."""
+    events = events_at(spark, [("s", 2, 0.1)]).withColumn("side", F.lit(1).cast("byte"))
+    plan = first_touch(closes_frame(range(1, 50)), events, 1.0, 1.0, 2000)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 5 and plan.count("Generate ") <= 1 and "Cross" not in plan

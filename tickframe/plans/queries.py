@@ -16,7 +16,7 @@ from tickframe.functions.validate import quarantine, require
 from tickframe.operators import bars as bar_ops
 from tickframe.operators import batches, folds, ideas, indicators, review, risk, scoring, volatility
 from tickframe.operators import weights as weight_ops
-from tickframe.operators.barriers import get_bins, get_events, vertical_barriers
+from tickframe.operators.barriers import first_touch, get_bins, get_events, vertical_barriers
 from tickframe.operators.bootstrap import sequential_bootstrap
 from tickframe.operators.fitting import fit_folds, predict_folds
 from tickframe.plans import checks as sql
@@ -236,6 +236,28 @@ def barrier_events(spark, sf_dir):
     return found.withColumn("barrier", F.coalesce(F.col("barrier").cast("int"), F.lit(-9)))
 
 
+@query("symbol:s t0_seq:i t1_seq:i t1:t barrier:i", sql.ORDER_SPANS + """,
+opened AS (
+  SELECT symbol, bar_seq AS t0_seq, close AS close0, 0.5 + (event_id % 32) / 8 AS trgt, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS side FROM series),
+hits AS (
+  SELECT o.symbol, o.t0_seq, min(s.bar_seq) AS seq, arg_min(sign((s.close / close0 - 1) * side), s.bar_seq) AS code FROM opened o
+  JOIN series s ON s.symbol = o.symbol AND s.bar_seq BETWEEN o.t0_seq AND o.t0_seq + 2000
+  WHERE (s.close / close0 - 1) * side > trgt OR (s.close / close0 - 1) * side < trgt * -0.25 GROUP BY ALL),
+result AS (
+  SELECT o.symbol, o.t0_seq, b.bar_seq AS t1_seq, b.bar_end_ts AS t1,
+    CASE WHEN b.bar_seq IS NULL THEN -9 WHEN h.seq IS NULL THEN 0 ELSE CAST(h.code AS INTEGER) END AS barrier
+  FROM opened o LEFT JOIN hits h USING (symbol, t0_seq)
+  LEFT JOIN series b ON b.symbol = o.symbol AND b.bar_seq = coalesce(h.seq, o.t0_seq + 2000))""")
+def barrier_events_long(spark, sf_dir):
+    """First touches within 2,000 orders, long and short, of targets between a half and 4.5."""
+    series = materialize(adapters.order_series(spark, sf_dir))
+    key = F.col("event_id")
+    bets = series.select("symbol", F.col("bar_seq").alias("t0_seq"), (0.5 + (key % 32) / 8).alias("trgt"),
+                         F.when(key % 3 == 0, -1).otherwise(1).cast("byte").alias("side"))
+    found = first_touch(series, bets, 1.0, 0.25, 2000)
+    return found.withColumn("barrier", F.coalesce(F.col("barrier").cast("int"), F.lit(-9)))
+
+
 _LABEL = "symbol:s t0_seq:i t1_seq:i t0:t t1:t trgt:f ret:f bin:i barrier:i"
 
 
