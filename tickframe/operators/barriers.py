@@ -89,7 +89,7 @@ def first_touch(bars: DataFrame, events: DataFrame, pt_mult: float, sl_mult: flo
         return F.get(F.filter("children", lambda c: (c["place"] >= start) & (up(c) | down(c))), F.lit(0))
 
     t0, end = F.col("t0_seq"), F.col("t0_seq") + max_hp
-    at = lambda position: F.get(F.filter("children", lambda c: c["place"] == position), F.lit(0))
+    at = lambda position: F.get("children", (position - F.col("node") * FAN).cast("int"))
     # A key of its own for rows that look nothing up, so that they spread.
     no_key = -2 - t0
     sought = events.drop("t0").withColumn("node", _spot(t0, 1)).join(index[0], ["symbol", "node"]).withColumn("_start", at(t0)).filter(
