@@ -226,3 +226,45 @@ def test_weighted_estimator(spark):
     assert all(0 <= r.score <= 1 for r in accuracy.collect())
     with pytest.raises(AttributeError):
         estimator_predictor(LinearSVC())
+
+
+def test_top_up_opens_the_touched_days_only(spark, tmp_path):
+    """Files of other days are broken after they were stored: storing candles of one day still works and finds its copies."""
+    path = str(tmp_path / "table")
+    hours = lambda *at: landed(spark, [("a", "1h", 4 * h, h) for h in at])
+    assert candles.store_candles(hours(1, 2, 25, 26, 49), path) == 5
+    broken = [f for day in ("2024-01-01", "2024-01-03") for f in (tmp_path / "table" / f"day={day}").glob("*.parquet")]
+    assert len(broken) >= 2
+    for file in broken:
+        file.write_bytes(b"not parquet")
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    assert candles.store_candles(hours(25, 26, 27), path) == 1
+    plan = candles.stored_beside(hours(25), path)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan or "PartitionFilters: [day" in plan
+    candles_left = spark.read.parquet(str(tmp_path / "table" / "day=2024-01-02"))
+    assert sorted(r.timestamp for r in candles_left.collect()) == [START + timedelta(hours=h) for h in (25, 26, 27)]
+
+
+def test_many_days_are_read_as_a_range(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(candles, "LISTED_DAYS", 1)
+    path = str(tmp_path / "table")
+    frame = landed(spark, [("a", "1h", 96 * d, d) for d in range(6)])
+    assert candles.store_candles(frame, path) == 6
+    assert candles.store_candles(landed(spark, [("a", "1h", 96 * d, d) for d in (1, 3, 7)]), path) == 1
+    assert candles.stored_beside(landed(spark, []), path).count() == 0
+    extent = candles.series_extent(candles.read_candles(spark, path), spark.createDataFrame([("a", "1h"), ("b", "1h")], "symbol string, timeframe string"))
+    assert {r.symbol: (r.candles, r.latest) for r in extent.collect()} == {"a": (7, START + timedelta(days=7)), "b": (0, None)}
+
+
+def test_a_symbol_without_labels_loses_its_set(spark, tmp_path):
+    root, t = str(tmp_path), Decimal(5000)
+    both = spark.createDataFrame([("BTC/USD",), ("ETH/USD",)], "symbol string")
+    catalog.store_labels(label_rows(spark, "BTC/USD", 3).unionByName(label_rows(spark, "ETH/USD", 2)), LABELS, t, root)
+    catalog.store_labels(label_rows(spark, "ETH/USD", 1), LABELS, t, root)
+    assert catalog.load_labels(spark, LABELS, "BTC/USD", t, root).count() == 3
+    catalog.store_labels(label_rows(spark, "ETH/USD", 4), LABELS, t, root, covered=both)
+    assert {r.symbol: r.n_labels for r in catalog.list_label_configs(spark, root).collect()} == {"ETH/USD": 4}
+    with pytest.raises(KeyError):
+        catalog.load_labels(spark, LABELS, "BTC/USD", t, root)
+    catalog.store_labels(label_rows(spark, "BTC/USD", 2), LABELS, t, root, overwrite=False)
+    assert catalog.load_labels(spark, LABELS, "BTC/USD", t, root).count() == 2

@@ -83,6 +83,7 @@ def validate(signals: DataFrame) -> DataFrame:
     missing = _absent("entry_price") | _absent("stop_loss") | _absent("take_profit") | \
         F.col("direction").isNull() | (F.col("direction") == "")
     percent = lambda c: F.format_string("%.1f%%", c * 100)
+    # Message texts (fixed values).
     rules = [
         (F.col("kill_switch_active"), KILL_SWITCH,
          F.lit("System kill switch is active. Manual reset required.")),

@@ -178,6 +178,36 @@ def streamed_bars(spark, sf_dir):
     return stream_bars.completed_bars(spark, root)
 
 
+_FED = _result(sql.BARS, """
+SELECT symbol, 'bar' AS kind, bar_seq AS number, bar_end_ts AS moment, num_ticks AS ticks, dollar_volume AS amount FROM bars
+UNION ALL SELECT symbol, 'late', seq, ts, 1, CAST(price * amount AS DOUBLE) FROM trades
+WHERE CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) FROM trades)""")
+
+
+@query("symbol:s kind:s number:i moment:t ticks:i amount:f", _FED)
+def streamed_bars_restarted(spark, sf_dir):
+    """The feed landed file by file, six micro-batches of the stream stopped and started twice; the first day comes again with
+    the fifth file. Completed bars equal the batch operator's, and the repeated trades are late, each once."""
+    root = scratch_path(spark, "stream-feed")
+    feed = materialize(read_trades(spark, sf_dir))
+    first, last = feed.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.floor((F.unix_micros("ts") - first) * 6 / (last - first + 1))
+    for file in range(6):
+        landing = feed.filter(part == file)
+        if file == 4:
+            landing = landing.unionByName(feed.filter(F.to_date("ts") == F.to_date(F.timestamp_micros(F.lit(first)))))
+        landing.coalesce(1).write.mode("append").parquet(f"{root}/landed")
+        if file % 2:
+            source = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
+            stream_bars.stream_dollar_bars(source, THRESHOLD, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    done = stream_bars.completed_bars(spark, f"{root}/out").select(
+        "symbol", F.lit("bar").alias("kind"), F.col("bar_seq").alias("number"), F.col("bar_end_ts").alias("moment"),
+        F.col("num_ticks").alias("ticks"), F.col("dollar_volume").cast("double").alias("amount"))
+    return done.unionByName(stream_bars.late_trades(spark, f"{root}/out").select(
+        "symbol", F.lit("late").alias("kind"), F.col("seq").alias("number"), F.col("ts").alias("moment"), F.lit(1).cast("long").alias("ticks"),
+        (F.col("price") * F.col("amount")).cast("double").alias("amount")))
+
+
 # --- volatility, events, labels ----------------------------------------------------------------
 
 @query("symbol:s bar_seq:i log_ratio:f log_diff:f", _result(sql.RETURNS, "SELECT * FROM rets"))
@@ -573,6 +603,43 @@ def two_phase_load(spark, sf_dir):
     return landed.load_two_phases(pages, scratch_path(spark, "two-phase"), NOW, known, months=1, deep="4h", live="15m")
 
 
+@query(_CANDLE, _result(sql.LANDED, """
+SELECT symbol, timeframe, timestamp, arg_min(open, ingest_seq) AS open, arg_min(high, ingest_seq) AS high,
+       arg_min(low, ingest_seq) AS low, arg_min(close, ingest_seq) AS close, arg_min(volume, ingest_seq) AS volume
+FROM landed WHERE timestamp >= TIMESTAMP '2024-01-16' AND timestamp < TIMESTAMP '2024-01-20' GROUP BY ALL"""))
+def candle_topup(spark, sf_dir):
+    """What twelve days of the feed add to a stored table that ends within them; the stored days before are not read."""
+    path = scratch_path(spark, "candles")
+    landed_ = materialize(_landed(spark, sf_dir))
+    candles.store_candles(landed_.filter(F.col("timestamp") < F.lit(datetime(2024, 1, 16))), path)
+    days = landed_.filter(F.col("timestamp").between(F.lit(datetime(2024, 1, 8)), F.lit(datetime(2024, 1, 19, 23, 59, 59))))
+    return candles.new_candles(days, candles.stored_beside(days, path))
+
+
+@query(_CANDLE, _result(sql.LANDED, """
+SELECT symbol, timeframe, timestamp, arg_min(open, ingest_seq) AS open, arg_min(high, ingest_seq) AS high,
+       arg_min(low, ingest_seq) AS low, arg_min(close, ingest_seq) AS close, arg_min(volume, ingest_seq) AS volume
+FROM landed WHERE symbol = 'click' AND timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' GROUP BY ALL"""))
+def loaded_series(spark, sf_dir):
+    """One series loaded into the table, twice, and read back."""
+    path = scratch_path(spark, "series")
+    landed_ = materialize(_landed(spark, sf_dir))
+    for _ in range(2):
+        candles.load_series(landed_, path, "click", "4h", datetime(2024, 1, 5), datetime(2024, 1, 25))
+    return candles.read_candles(spark, path)
+
+
+@query("symbol:s timeframe:s candles:i earliest:t latest:t", _result(sql.CANDLES, """
+SELECT a.symbol, a.timeframe, count(c.symbol) AS candles, min(timestamp) AS earliest, max(timestamp) AS latest
+FROM (SELECT * FROM (SELECT DISTINCT event_type AS symbol FROM events), (VALUES ('4h'), ('1d')) t(timeframe)) a
+LEFT JOIN candles c ON c.symbol = a.symbol AND c.timeframe = a.timeframe GROUP BY a.symbol, a.timeframe"""))
+def series_extent(spark, sf_dir):
+    """Count and range of every series asked for, of a timeframe that is stored and one that is not."""
+    feed = _candles(spark, sf_dir)
+    asked = _symbols(read_trades(spark, sf_dir)).withColumn("timeframe", F.explode(F.array(F.lit("4h"), F.lit("1d"))))
+    return candles.series_extent(feed, asked)
+
+
 @query("symbol:s timeframe:s candles:i earliest:t latest:t", _result(sql.CANDLES, """
 SELECT symbol, timeframe, count(*) AS candles, min(timestamp) AS earliest, max(timestamp) AS latest
 FROM candles GROUP BY ALL"""))
@@ -614,6 +681,37 @@ def candle_view(spark, sf_dir):
     return candles.client_view(_candles(spark, sf_dir).withColumn("id", F.unix_micros("timestamp")), candles.CANDLE_VIEW)
 
 
+_DEALS = """
+deals AS (
+  SELECT event_id AS id, event_id + 1 AS signal_id, CASE WHEN user_id % 2 = 0 THEN 'paper' ELSE 'live' END AS mode, event_type AS symbol,
+    CASE WHEN event_id % 2 = 0 THEN 'long' ELSE 'short' END AS direction, 1000 + value AS entry_price, 990 + value AS stop_loss, 1020 + value AS take_profit,
+    CASE WHEN event_id % 3 = 0 THEN 1010 + value END AS exit_price, value AS position_size, 2 * value AS risk_amount, 2.0 AS risk_reward_ratio,
+    CASE WHEN event_id % 3 = 0 THEN 'closed' ELSE 'open' END AS status, props AS technical_summary, NULL AS coordinator_summary,
+    ts AS created_at, ts + INTERVAL 15 MINUTES AS expires_at, CASE WHEN event_id % 3 = 0 THEN 10 * value END AS pnl,
+    CASE WHEN event_id % 3 = 0 THEN 0.5 END AS pnl_pct, ts AS opened_at, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 HOUR END AS closed_at
+  FROM events)"""
+
+
+@query("id:i symbol:s direction:s entry_price:f stop_loss:f take_profit:f position_size:f risk_amount:f risk_reward_ratio:f status:s "
+       "technical_summary:s coordinator_summary:s created_at:t expires_at:t", _result(_DEALS, "SELECT * FROM deals"))
+def signal_view(spark, sf_dir):
+    return candles.client_view(adapters.deals(read_events(spark, sf_dir)), candles.SIGNAL_VIEW)
+
+
+@query("id:i signal_id:i mode:s symbol:s direction:s entry_price:f exit_price:f position_size:f pnl:f pnl_pct:f status:s opened_at:t closed_at:t",
+       _result(_DEALS, "SELECT * FROM deals"))
+def trade_view(spark, sf_dir):
+    return candles.client_view(adapters.deals(read_events(spark, sf_dir)), candles.TRADE_VIEW)
+
+
+@query("entry_price:f stop_loss:f take_profit:f direction:s rows:i", _result(_DEALS, """
+SELECT entry_price, stop_loss, take_profit, direction, count(*) AS rows FROM deals GROUP BY ALL"""))
+def gate_columns(spark, sf_dir):
+    """What the risk gate sees of the signals."""
+    seen = risk.gate_view(adapters.deals(read_events(spark, sf_dir)))
+    return seen.groupBy(*seen.columns).agg(F.count("*").alias("rows"))
+
+
 @query("l_quantity:f up:f even:f rows:i", _result("", """
 SELECT l_quantity, round(CAST(l_quantity / 8 AS DECIMAL(10,3)), 2) AS up, round_even(l_quantity / 8, 2) AS even,
        count(*) AS rows FROM lineitem GROUP BY l_quantity"""))
@@ -635,9 +733,14 @@ def calendar(spark, sf_dir):
 
 # --- stored label and weight sets --------------------------------------------------------------
 
-@query("symbol:s threshold:f kappa:f ewma_span:i max_hp:i n_labels:i", _result(sql.LABELS, """
-SELECT symbol, 5000 AS threshold, 1.0 AS kappa, 10 AS ewma_span, 10 AS max_hp, count(*) AS n_labels
-FROM labels_ GROUP BY symbol"""))
+# The recipes as JSON with sorted keys; their identity is the start of its SHA-256.
+_LABEL_RECIPE = '{"ewma_span": 10, "kappa": 1.0, "max_hp": 10, "min_ret": 0.0, "pt_mult": 1.0, "schema_version": 1, "sl_mult": 1.0}'
+_WEIGHT_RECIPE = '{"decay_c": 0.5, "schema_version": 1}'
+
+
+@query("symbol:s threshold:f label_hash:s kappa:f ewma_span:i max_hp:i n_labels:i", _result(sql.LABELS, f"""
+SELECT symbol, 5000 AS threshold, substr(sha256('{_LABEL_RECIPE}'), 1, 12) AS label_hash, 1.0 AS kappa, 10 AS ewma_span, 10 AS max_hp,
+  count(*) AS n_labels FROM labels_ GROUP BY symbol"""))
 def label_sets(spark, sf_dir):
     """Label sets stored twice and listed from the catalog."""
     root = scratch_path(spark, "labels")
@@ -667,8 +770,9 @@ def loaded_weights(spark, sf_dir):
     return catalog.load_weights(spark, WEIGHTING, LABELING, "view", THRESHOLD, root)
 
 
-@query("symbol:s decay_c:f n_weights:i", _result(
-    sql.LABELS, "SELECT symbol, 0.5 AS decay_c, count(*) AS n_weights FROM labels_ GROUP BY symbol"))
+@query("symbol:s label_hash:s weight_hash:s decay_c:f n_weights:i", _result(sql.LABELS, f"""
+SELECT symbol, substr(sha256('{_LABEL_RECIPE}'), 1, 12) AS label_hash, substr(sha256('{_WEIGHT_RECIPE}'), 1, 12) AS weight_hash, 0.5 AS decay_c,
+  count(*) AS n_weights FROM labels_ GROUP BY symbol"""))
 def weight_sets(spark, sf_dir):
     root = scratch_path(spark, "weights")
     bars, labelled = _labels(spark, sf_dir)
@@ -834,17 +938,17 @@ def approvals(spark, sf_dir):
 
 
 @query("signal_id:i decision:s decided_at:t", _result(sql.RESPONSES, """
-SELECT * FROM resolved
-WHERE decision <> 'timeout' OR signal_id IN (
-  SELECT event_id FROM events WHERE epoch_us(ts) + 120000000 <= (SELECT max(epoch_us(ts)) FROM events))"""))
+SELECT signal_id, decided_at, CASE WHEN decision = 'timeout' AND NOT epoch_us(sent) + 120000000 <= (SELECT max(epoch_us(ts)) FROM events)
+  THEN 'pending' ELSE decision END AS decision
+FROM (SELECT r.*, e.ts AS sent FROM resolved r JOIN events e ON e.event_id = r.signal_id)"""))
 def streamed_approvals(spark, sf_dir):
-    """The approval wait as a stream. A timeout is known once the watermark has passed its wait."""
+    """The approval wait as a stream. A timeout is known once the watermark has passed its wait; till then it is pending."""
     root = scratch_path(spark, "approvals")
     events = adapters.events_stream(spark, sf_dir)
     stream_approvals.stream_approvals(
         adapters.sent_signals(events), adapters.reviewer_responses(events), f"{root}/matched", f"{root}/checkpoint"
     ).awaitTermination()
-    return stream_approvals.resolved(spark, f"{root}/matched")
+    return stream_approvals.resolved(spark, f"{root}/matched", adapters.sent_signals(read_events(spark, sf_dir)))
 
 
 @query("signal_ref:s symbol:s direction:s conviction:f submitted_at:t", _result(sql.IDEAS, "SELECT * FROM good"))
@@ -862,6 +966,16 @@ def rejected_ideas(spark, sf_dir):
     return bad.groupBy(F.array_join("broken_rules", ",").alias("broken")).agg(F.count("*").alias("ideas"))
 
 
+@query("symbol:s direction:s conviction:f provenance:s submitted_at:t ref_size:i", _result(
+    sql.IDEAS, "SELECT *, 'human' AS provenance, 36 AS ref_size FROM good"))
+def submitted_ideas(spark, sf_dir):
+    """Valid ideas submitted to the idea table and read back, each under a reference of its own."""
+    path = scratch_path(spark, "ideas")
+    good, _ = quarantine(adapters.ideas_from_events(read_events(spark, sf_dir)), ideas.idea_rules())
+    ideas.submit_ideas(good.select("symbol", "direction", "conviction", "submitted_at"), path)
+    return ideas.read_ideas(spark, path).withColumn("ref_size", F.length("signal_ref"))
+
+
 @query("signal_ref:s symbol:s direction:s conviction:f", _result(
     sql.IDEAS, "SELECT * FROM good WHERE NOT (event_id % 4 = 0 AND user_id % 2 = 1)"))
 def pending_ideas(spark, sf_dir):

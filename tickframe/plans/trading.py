@@ -28,6 +28,7 @@ def audit(candles: DataFrame, symbols: DataFrame, state: SystemState, size: int
     good, bad = quarantine(candles, candle_rules())
     failed = bad.groupBy("symbol").agg(F.min("broken_rules").alias("_rules"))
     judged = validate(with_state(latest_signals(good, size), state))
+    # The prefix is a fixed value.
     error = F.when(F.col("_rules").isNotNull(),
                    F.concat(F.lit("Candle fetch failed: "), F.array_join("_rules", ", ")))
     status = F.when(F.col("error").isNotNull(), "error").when(F.col("approved").isNull(), "no_signal") \

@@ -46,6 +46,23 @@ def ideas_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def deals(events: DataFrame) -> DataFrame:
+    """Every event as a signal with its trade; every third is closed."""
+    value, ts = F.col("value"), F.col("ts").cast("timestamp")
+    closed = F.pmod("event_id", F.lit(3)) == 0
+    return events.select(
+        F.col("event_id").alias("id"), (F.col("event_id") + 1).alias("signal_id"), "user_id",
+        F.when(F.col("user_id") % 2 == 0, "paper").otherwise("live").alias("mode"), F.col("event_type").alias("symbol"),
+        F.when(F.pmod("event_id", F.lit(2)) == 0, "long").otherwise("short").alias("direction"), (1000 + value).alias("entry_price"),
+        (990 + value).alias("stop_loss"), (1020 + value).alias("take_profit"), F.when(closed, 1010 + value).alias("exit_price"),
+        value.alias("position_size"), (2 * value).alias("risk_amount"), F.lit(2.0).alias("risk_reward_ratio"),
+        F.when(closed, "closed").otherwise("open").alias("status"), F.col("props").alias("technical_summary"),
+        F.lit(None).cast("string").alias("coordinator_summary"), ts.alias("created_at"),
+        F.timestamp_micros(F.unix_micros(ts) + 900_000_000).alias("expires_at"), F.when(closed, 10 * value).alias("pnl"),
+        F.when(closed, 0.5).alias("pnl_pct"), ts.alias("opened_at"),
+        F.when(closed, F.timestamp_micros(F.unix_micros(ts) + 3_600_000_000)).alias("closed_at"))
+
+
 def sent_signals(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").alias("signal_id"), F.col("event_type").alias("symbol"),
                          F.col("ts").cast("timestamp").alias("sent_at"))

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from tickframe.functions.exprs import time_order
 from tickframe.functions.validate import require
@@ -79,9 +80,33 @@ def new_candles(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return once.join(stored.select(*KEY), KEY, "left_anti")
 
 
+#: Days that are looked up one by one; a batch of more days reads all from its first to its last.
+LISTED_DAYS = 1_000
+_STORED = StructType([*CANDLES.fields, StructField("day", DateType())])
+
+
 def read_candles(spark: SparkSession, path: str) -> DataFrame:
     """The candle table, or a typed empty frame where nothing is stored yet."""
-    return _read_or_empty(spark, path, CANDLES)
+    return _read_or_empty(spark, path, _STORED).select(*CANDLES.fieldNames())
+
+
+def stored_beside(incoming: DataFrame, path: str) -> DataFrame:
+    """The stored candles of the days that ``incoming`` has candles of. The table is partitioned by day, so the files of all
+    other days stay closed, however long the history is."""
+    day = F.to_date("timestamp").alias("day")
+    touched = incoming.select(day).distinct()
+    days = [r["day"] for r in touched.limit(LISTED_DAYS + 1).collect()]
+    stored = _read_or_empty(incoming.sparkSession, path, _STORED)
+    if len(days) > LISTED_DAYS:
+        first, last = touched.agg(F.min("day"), F.max("day")).first()
+        return stored.filter(F.col("day").between(F.lit(first), F.lit(last)))
+    return stored.filter(F.col("day").isin(days)) if days else stored.filter(F.lit(False))
+
+
+def append_candles(fresh: DataFrame, path: str) -> None:
+    """Add candles that are known to be new; a large day is written by several tasks."""
+    placed = fresh.select(*CANDLES.fieldNames(), F.to_date("timestamp").alias("day")).hint("rebalance", "day")
+    placed.sortWithinPartitions("day", *KEY).write.mode("append").partitionBy("day").parquet(path)
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -92,14 +117,14 @@ def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def store_candles(incoming: DataFrame, path: str) -> int:
-    """Append the candles not stored yet and return how many were; safe to repeat."""
-    spark = incoming.sparkSession
-    fresh = materialize(new_candles(incoming, read_candles(spark, path)))
+    """Append the candles not stored yet and return how many were; safe to repeat. Only the stored days that the incoming
+    candles touch are read."""
+    fresh = materialize(new_candles(incoming, stored_beside(incoming, path)))
     # Counted on the materialized rows: in Spark 4.1 an Observation in the session makes the models of
     # pyspark.ml unserializable afterwards.
     inserted = fresh.count()
     if inserted:
-        fresh.write.mode("append").partitionBy("symbol", "timeframe").parquet(path)
+        append_candles(fresh, path)
     return inserted
 
 
@@ -135,6 +160,12 @@ def load_counts(loaded: DataFrame, symbols: list[str], timeframes: list[str]) ->
     return asked.join(counts, ["symbol", "timeframe"], "left").fillna(0, ["candles"])
 
 
+def series_extent(candles: DataFrame, asked: DataFrame) -> DataFrame:
+    """(symbol, timeframe, candles, earliest, latest) for every pair of ``asked``; 0 and NULL where nothing is stored."""
+    pairs = asked.select("symbol", "timeframe").distinct()
+    return pairs.join(seed_report(candles), ["symbol", "timeframe"], "left").fillna(0, ["candles"])
+
+
 def candle_count(candles: DataFrame, symbol: str, timeframe: str) -> int:
     return candles.filter((F.col("symbol") == symbol) & (F.col("timeframe") == timeframe)).count()
 
@@ -166,7 +197,7 @@ def candles_from_trades(trades: DataFrame, timeframe: str, seconds: int) -> Data
     ).select("symbol", F.lit(timeframe).alias("timeframe"), "timestamp", *_PRICES)
 
 
-# Column subsets served to clients.
+# Columns served to clients (fixed values).
 CANDLE_VIEW = ["id", "symbol", "timeframe", "timestamp", "open", "high", "low", "close", "volume"]
 SIGNAL_VIEW = [
     "id", "symbol", "direction", "entry_price", "stop_loss", "take_profit", "position_size",

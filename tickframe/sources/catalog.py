@@ -82,23 +82,23 @@ def _catalog_rows(stored: DataFrame, threshold, identity: dict, recipe: dict, co
     })
 
 
-def _catalog(spark: SparkSession, path: str, key: list[str]) -> DataFrame | None:
-    """The newest row of every stored set."""
+def _catalog(spark: SparkSession, path: str, key: list[str], count: str) -> DataFrame | None:
+    """The newest row of every stored set; a set whose newest row counts 0 was removed."""
     if not _exists(spark, path):
         return None
     rows = spark.read.parquet(path)
     rest = [c for c in rows.columns if c not in key]
     newest = F.max_by(F.struct(*rest), "created_at").alias("_r")
-    return rows.groupBy(*key).agg(newest).select(*key, "_r.*")
+    return rows.groupBy(*key).agg(newest).select(*key, "_r.*").filter(F.col(count) > 0)
 
 
 def _store(df: DataFrame, threshold, root: str, kind: str, identity: dict, recipe: dict, count: str,
-           overwrite: bool) -> None:
+           overwrite: bool, covered: DataFrame | None) -> None:
     spark = df.sparkSession
     key = ["symbol_key", "thr", *identity]
     ready = materialize(df)
     rows = materialize(_catalog_rows(ready, threshold, identity, recipe, count))
-    known = _catalog(spark, f"{root}/{kind}_catalog", key)
+    known = _catalog(spark, f"{root}/{kind}_catalog", key, count)
     if known is not None:
         # One row per symbol and recipe on both sides.
         other = known.select("symbol_key", "thr", F.col("threshold").alias("_t"))
@@ -109,6 +109,15 @@ def _store(df: DataFrame, threshold, root: str, kind: str, identity: dict, recip
             raise KeyError(f"{kind} set {identity} is already stored and overwrite=False")
     keyed = _keyed(ready, threshold).withColumns({n: F.lit(v) for n, v in identity.items()})
     _write(keyed, f"{root}/{kind}s", key)
+    if covered is not None and known is not None:
+        # What was stored before for a symbol that now has no rows is no longer a set.
+        gone = known.join(covered.select(symbol_key().alias("symbol_key")).distinct(), "symbol_key", "left_semi").filter(
+            (F.col("threshold") == F.lit(str(threshold)).cast(_THRESHOLD))).join(rows.select("symbol_key"), "symbol_key", "left_anti")
+        for name, value in identity.items():
+            gone = gone.filter(F.col(name) == value)
+        now = datetime.now(timezone.utc).isoformat()
+        rows = materialize(rows.unionByName(gone.withColumns({
+            count: F.lit(0).cast("long"), "created_at": F.lit(now)}).select(*rows.columns)))
     rows.write.mode("append").parquet(f"{root}/{kind}_catalog")
 
 
@@ -125,7 +134,7 @@ def _load(spark: SparkSession, root: str, kind: str, identity: dict, symbol: str
         return df
 
     exact = F.col("threshold") == F.lit(str(threshold)).cast(_THRESHOLD)
-    if narrow(_catalog(spark, f"{root}/{kind}_catalog", key)).filter(exact).isEmpty():
+    if narrow(_catalog(spark, f"{root}/{kind}_catalog", key, f"n_{kind}s")).filter(exact).isEmpty():
         raise KeyError(f"no {kind} set {identity} stored for {symbol!r} at threshold {threshold}")
     return narrow(spark.read.parquet(f"{root}/{kind}s")).drop(*key)
 
@@ -138,9 +147,11 @@ def _weight_identity(config: WeightConfig, labels: LabelConfig) -> dict:
     return {"label_hash": labels.config_hash(), "weight_hash": config.config_hash()}
 
 
-def store_labels(labels: DataFrame, config: LabelConfig, threshold, root: str, overwrite: bool = True) -> None:
-    """Store the label sets of all symbols in the frame; KeyError on an existing one without overwrite."""
-    _store(labels, threshold, root, "label", _label_identity(config), asdict(config), "n_labels", overwrite)
+def store_labels(labels: DataFrame, config: LabelConfig, threshold, root: str, overwrite: bool = True,
+                 covered: DataFrame | None = None) -> None:
+    """Store the label sets of all symbols in the frame; KeyError on an existing one without overwrite. ``covered``, a frame
+    with a symbol column, names what was labelled: a symbol in it that has no label loses the set stored before."""
+    _store(labels, threshold, root, "label", _label_identity(config), asdict(config), "n_labels", overwrite, covered)
 
 
 def load_labels(spark: SparkSession, config: LabelConfig, symbol: str, threshold, root: str) -> DataFrame:
@@ -149,10 +160,10 @@ def load_labels(spark: SparkSession, config: LabelConfig, symbol: str, threshold
 
 
 def store_weights(weights: DataFrame, config: WeightConfig, labels: LabelConfig, threshold, root: str,
-                  overwrite: bool = True) -> None:
-    """Store weight sets under the label recipe they derive from."""
+                  overwrite: bool = True, covered: DataFrame | None = None) -> None:
+    """Store weight sets under the label recipe they derive from; ``covered`` as for labels."""
     recipe = {**asdict(config), **{f"label_{k}": v for k, v in asdict(labels).items()}}
-    _store(weights, threshold, root, "weight", _weight_identity(config, labels), recipe, "n_weights", overwrite)
+    _store(weights, threshold, root, "weight", _weight_identity(config, labels), recipe, "n_weights", overwrite, covered)
 
 
 def load_weights(spark: SparkSession, config: WeightConfig, labels: LabelConfig, symbol: str, threshold,
@@ -165,7 +176,7 @@ _KINDS = {int: "long", float: "double", "int": "long", "float": "double"}
 
 def _list(spark: SparkSession, root: str, kind: str, identity: list[str], recipe, count: str) -> DataFrame:
     columns = ["symbol", "threshold", *identity, *(f.name for f in fields(recipe)), count]
-    rows = _catalog(spark, f"{root}/{kind}_catalog", ["symbol_key", "thr", *identity])
+    rows = _catalog(spark, f"{root}/{kind}_catalog", ["symbol_key", "thr", *identity], count)
     if rows is not None:
         return rows.select(*columns)
     kinds = [f"{f.name} {_KINDS[f.type]}" for f in fields(recipe)]

@@ -90,12 +90,12 @@ def load_two_phases(pages: DataFrame, path: str, until: datetime, symbols: list[
     Returns (symbol, timeframe, candles, reason) for both timeframes of every symbol asked for: the candles stored now, and
     why there are none if the series failed. A failed series leaves the others, also the symbol's other timeframe, alone.
     """
-    spark = pages.sparkSession
     wanted = pages.filter(F.col("symbol").isin(*symbols) & F.col("timeframe").isin(deep, live))
     good, status = candle_pages(wanted)
     chosen = candle_ops.two_phase(good, until, months, days, deep, live)
-    fresh = materialize(candle_ops.new_candles(chosen, candle_ops.read_candles(spark, path)))
-    fresh.write.mode("append").partitionBy(*SERIES).parquet(path)
+    chosen = materialize(chosen)
+    fresh = materialize(candle_ops.new_candles(chosen, candle_ops.stored_beside(chosen, path)))
+    candle_ops.append_candles(fresh, path)
     return candle_ops.load_counts(fresh, symbols, [deep, live]).join(status.select(*SERIES, "reason"), SERIES, "left")
 
 

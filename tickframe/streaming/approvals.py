@@ -35,9 +35,13 @@ def stream_approvals(signals: DataFrame, responses: DataFrame, path: str, checkp
     )
 
 
-def resolved(spark: SparkSession, path: str) -> DataFrame:
-    """(signal_id, decision, decided_at): the first response of each signal, else 'timeout'."""
-    return spark.read.parquet(path).groupBy("signal_id").agg(
+def resolved(spark: SparkSession, path: str, signals: DataFrame | None = None) -> DataFrame:
+    """(signal_id, decision, decided_at): the first response of each signal, else 'timeout'. With the sent ``signals`` those
+    whose wait was not over when the stream stopped are there too, as 'pending'."""
+    done = spark.read.parquet(path).groupBy("signal_id").agg(
         F.min(F.when(F.col("response").isNotNull(), F.struct("responded_at", "response"))).alias("_r")
     ).select("signal_id", F.coalesce("_r.response", F.lit("timeout")).alias("decision"),
              F.col("_r.responded_at").alias("decided_at"))
+    if signals is None:
+        return done
+    return signals.select("signal_id").join(done, "signal_id", "left").withColumn("decision", F.coalesce("decision", F.lit("pending")))
