@@ -109,16 +109,19 @@ def _folds(spans: DataFrame, bars: DataFrame, groups: int, members: list[tuple[i
     listed = blocks.groupBy("symbol").agg(F.collect_list(F.struct("tile", "i_seq", "j_seq")).alias("_blocks"))
     touched = F.transform(
         F.filter("_blocks", lambda b: (F.col("t0_seq") <= b["j_seq"]) & (F.col("t1_seq") >= b["i_seq"])), lambda b: b["tile"])
-    folds = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("fold_id"), F.array(*map(F.lit, combo)).alias("tiles")) for k, combo in enumerate(members)
-    ]))
-    role = F.when(F.array_contains("_f.tiles", F.col("tile")), "test").when(
-        ~F.arrays_overlap("_touched", "_f.tiles"), "train")
-    return (
-        spread_join(tiled, listed).withColumn("_touched", touched).drop("_blocks")
-        .withColumn("_f", folds).withColumn("role", role).filter("role IS NOT NULL")
-        .select(F.col("_f.fold_id").alias("fold_id"), "symbol", "event_id", "t0_seq", "t1_seq", "role")
+    # Spans of one tile that touch the same tiles play the same role in every fold: a class. Folds meet classes, not spans.
+    placed = spread_join(tiled, listed).withColumn("_touched", F.array_sort(touched)).drop("_blocks")
+    fold_tiles = spans.sparkSession.createDataFrame(list(enumerate(map(list, members))), "fold_id long, tiles array<int>")
+    role = F.when(F.array_contains("tiles", F.col("tile")), "test").when(~F.arrays_overlap("_touched", "tiles"), "train")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(members) - 1).cast("long")))
+    classes = (
+        placed.select("tile", "_touched").distinct().withColumn("fold_id", each).join(fold_tiles, "fold_id")
+        .withColumn("role", role).filter("role IS NOT NULL")
+        .groupBy("tile", "_touched").agg(F.collect_list(F.struct("fold_id", "role")).alias("_roles"))
     )
+    return placed.join(classes, ["tile", "_touched"]).select(
+        F.explode("_roles").alias("_f"), "symbol", "event_id", "t0_seq", "t1_seq").select(
+        F.col("_f.fold_id").cast("int").alias("fold_id"), "symbol", "event_id", "t0_seq", "t1_seq", F.col("_f.role").alias("role"))
 
 
 def purged_kfold(spans: DataFrame, bars: DataFrame, n_splits: int = 3, embargo_pct: float = 0.0,

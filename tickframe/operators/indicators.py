@@ -26,6 +26,8 @@ RSI_OVERSOLD = 30
 RSI_HIGH_CONFIDENCE = (40, 60)
 MIN_CANDLES = 35
 LATEST_CANDLES = 100
+#: Partitions whose newest candles meet in one task.
+TOP_FAN_IN = 64
 
 _PRICE = "decimal(20,8)"
 
@@ -38,11 +40,13 @@ def number_candles(candles: DataFrame, chunk_rows: int | None = None) -> DataFra
 def latest_window(candles: DataFrame, size: int = LATEST_CANDLES) -> DataFrame:
     """The newest ``size`` candles of each symbol, numbered from the oldest of them.
 
-    row_number <= size is limited in every partition before the shuffle, so no task sees more than
-    that many rows of a symbol per input partition.
+    row_number <= size is limited in every partition, then in groups of ``TOP_FAN_IN`` partitions, then in the symbol: no task
+    of the first step sees more than size * TOP_FAN_IN rows of a symbol, and the last one sees size rows a group.
     """
-    newest = Window.partitionBy("symbol").orderBy(F.col("timestamp").desc())
-    kept = candles.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= size)
+    newest = lambda *by: F.row_number().over(Window.partitionBy("symbol", *by).orderBy(F.col("timestamp").desc()))
+    grouped = candles.withColumn("_group", F.floor(F.spark_partition_id() / TOP_FAN_IN))
+    nearly = grouped.withColumn("_rn", newest("_group")).filter(F.col("_rn") <= size).drop("_group")
+    kept = nearly.withColumn("_rn", newest()).filter(F.col("_rn") <= size)
     oldest = Window.partitionBy("symbol")
     return kept.withColumn("bar_seq", (F.max("_rn").over(oldest) - F.col("_rn")).cast("long")).drop("_rn")
 

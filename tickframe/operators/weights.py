@@ -143,6 +143,39 @@ def event_incidence(spans: DataFrame) -> DataFrame:
     )
 
 
+#: Bars of one mask.
+MASK_BARS = 64
+
+
+def incidence_masks(spans: DataFrame) -> DataFrame:
+    """(symbol, event_id, block, mask): the bars a span covers, 64 to a row: bit i of ``mask`` is bar 64 * block + i."""
+    block = lambda c: F.shiftright(c, 6)
+    opened = _checked(spans).select("symbol", "event_id", "t0_seq", "t1_seq", F.explode(F.sequence(block("t0_seq"), block("t1_seq"))).alias("block"))
+    base = F.col("block") * MASK_BARS
+    low, high = F.greatest(F.col("t0_seq") - base, F.lit(0)).cast("int"), F.least(F.col("t1_seq") - base, F.lit(MASK_BARS - 1)).cast("int")
+    ones = F.lit(-1).cast("long")
+    # Ones from the low bit on, less those behind the high bit.
+    upto = F.call_function("shiftrightunsigned", ones, (MASK_BARS - 1 - high).cast("int"))
+    return opened.select("symbol", "event_id", "block", F.call_function("shiftleft", ones, low).bitwiseAND(upto).alias("mask"))
+
+
+def bars_of_masks(masks: DataFrame) -> DataFrame:
+    """(symbol, bar_seq, co_events): how many spans cover each bar that is covered at all, counted from the masks. A bar
+    gets one row per block, not one per span."""
+    bit = lambda i: F.sum(F.call_function("shiftrightunsigned", F.col("mask"), F.lit(i)).bitwiseAND(F.lit(1).cast("long")))
+    counted = masks.groupBy("symbol", "block").agg(F.array(*[bit(i) for i in range(MASK_BARS)]).alias("counts"))
+    return counted.select("symbol", "block", F.posexplode("counts").alias("i", "co_events")).filter("co_events > 0").select(
+        "symbol", (F.col("block") * MASK_BARS + F.col("i")).alias("bar_seq"), "co_events")
+
+
+def shared_bars(masks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(symbol, event_id, other_id, shared): how many bars both spans of each pair cover; ``pairs``: symbol, event_id, other_id."""
+    other = masks.select("symbol", F.col("event_id").alias("other_id"), "block", F.col("mask").alias("_other"))
+    met = pairs.join(masks, ["symbol", "event_id"]).join(other, ["symbol", "other_id", "block"]).groupBy("symbol", "event_id", "other_id").agg(
+        F.sum(F.bit_count(F.col("mask").bitwiseAND(F.col("_other")))).alias("shared"))
+    return pairs.join(met, ["symbol", "event_id", "other_id"], "left").fillna(0, ["shared"])
+
+
 def incidence_uniqueness(grid: DataFrame, spans: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """(symbol, event_id, avg_uniqueness): per event the mean of 1/concurrency over its own bars, within the given events
     only. Counted on the grid, so spans are not expanded to their bars."""

@@ -349,6 +349,25 @@ def incidence_uniqueness(spark, sf_dir):
     return weight_ops.incidence_uniqueness(series, spans)
 
 
+@query("symbol:s event_id:i n_bars:i next_id:i shared:i", _result(sql.ORDER_SPANS, """
+SELECT a.symbol, a.event_id, a.t1_seq - a.t0_seq + 1 AS n_bars, b.event_id AS next_id, greatest(0, least(a.t1_seq, b.t1_seq) - b.t0_seq + 1) AS shared
+FROM spans a JOIN spans b ON b.symbol = a.symbol AND b.t0_seq = a.t0_seq + 1"""))
+def event_bitmaps(spark, sf_dir):
+    """The packed incidence of every span: its bars, and those it shares with the span that starts on the next bar."""
+    _, spans = _order_spans(spark, sf_dir)
+    masks = materialize(weight_ops.incidence_masks(spans))
+    sizes = masks.groupBy("symbol", "event_id").agg(F.sum(F.bit_count("mask")).alias("n_bars"))
+    behind = spans.select("symbol", F.col("event_id").alias("other_id"), (F.col("t0_seq") - 1).alias("t0_seq"))
+    pairs = spans.select("symbol", "event_id", "t0_seq").join(behind, ["symbol", "t0_seq"]).drop("t0_seq")
+    return weight_ops.shared_bars(masks, pairs).join(sizes, ["symbol", "event_id"]).withColumnRenamed("other_id", "next_id")
+
+
+@query("symbol:s bar_seq:i co_events:i", _result(sql.ORDER_SPANS + sql.COUNTED, "SELECT * FROM counted WHERE co_events > 0"))
+def event_incidence(spark, sf_dir):
+    """Concurrency counted from the packed incidence."""
+    return weight_ops.bars_of_masks(weight_ops.incidence_masks(_order_spans(spark, sf_dir)[1]))
+
+
 @query("symbol:s replicate:i draw:i event_id:i")
 def sequential_draws(spark, sf_dir):
     """Five replicates over every label of every symbol."""
@@ -1001,3 +1020,20 @@ def batch_sums(spark, sf_dir):
 
     atoms = read_trades(spark, sf_dir).select("seq", "price", "amount")
     return batches.apply_batches(atoms, total, "batch long, rows long, total double", 500)
+
+
+@query("rows:i first:f last:f rise:f", _result(sql.TRADES, """
+SELECT count(*) AS rows, arg_min(price, seq) AS first, arg_max(price, seq) AS last, max(price - before) AS rise
+FROM (SELECT *, lag(price) OVER (ORDER BY seq) AS before FROM trades)"""))
+def batch_fold(spark, sf_dir):
+    """A user fold whose order matters, over batches of 500 positions: the largest rise from one trade to the next."""
+    def one(frame):
+        price = frame["price"].astype("float64")
+        return frame.head(1).assign(rows=len(frame), first=price.iloc[0], last=price.iloc[-1], rise=price.diff().max())[["rows", "first", "last", "rise"]]
+
+    def both(left, right):
+        step = right["first"].iloc[0] - left["last"].iloc[0]
+        left["rise"] = max([x for x in (left["rise"].iloc[0], right["rise"].iloc[0], step) if x == x])
+        left["rows"], left["last"] = left["rows"] + right["rows"], right["last"]
+
+    return batches.fold_batches(read_trades(spark, sf_dir).select("seq", "price"), one, both, "rows long, first double, last double, rise double", 500, fan_in=8)
