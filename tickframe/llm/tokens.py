@@ -10,7 +10,7 @@ import numpy as np
 
 #: Words remembered for good in a worker process, and words remembered for a while beside them. What is forgotten is
 #: worked out again; no result changes.
-KEPT, PASSING = 120_000, 60_000
+KEPT, PASSING = 300_000, 150_000
 #: One word a line: a plain one of Latin letters, which the vocabulary only lower-cases, and ASCII marks after them, a piece
 #: of their own; or any other.
 _LINE = re.compile(r"^(?:([a-zß-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)|(.*))$", re.M)
