@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickframe.llm import graph, hostquality, htmltext, langid, lm, merkle, mixing, packing, passages, rules, simhash, tokens
+from tickframe.llm import attention, graph, hostquality, htmltext, langid, lm, merkle, mixing, packing, passages, rules, simhash, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept int, node string, `size` int"
 LONG = " ".join(f"word{i} of the long text." for i in range(3000))
@@ -272,6 +272,54 @@ def test_lm_counts_and_base(docs, empty, monkeypatch):
     assert all(r.n_known == 0 and r.base_score == 0 for r in lm.scored(docs.filter("doc_id = 20"), F.lit(True)).collect())
 
 
+def plain_log(model, given, wanted):
+    """The log-probability of one id after those given, place by place in double precision."""
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x = p["e"][given]
+    own = x[-1] @ p["q"]
+    seen = np.array([own @ (x[j] @ p["k"]) / math.sqrt(attention.WIDTH) + p["r"][len(x) - 1 - j] for j in range(len(x))])
+    seen = np.exp(seen - seen.max())
+    h = x[-1] + (seen / seen.sum()) @ (x @ p["v"])
+    c, j = divmod(int(model.slot[wanted]), model.size)
+    outer, inner = h @ p["uc"] + p["bc"], h @ p["uw"][c] + p["bw"][c]
+    return outer[c] - np.log(np.exp(outer).sum()) + inner[j] - np.log(np.exp(inner).sum())
+
+
+@pytest.mark.parametrize("learner_words", [400, 10**6])
+def test_lm_scores_by_brute_force(docs, monkeypatch, learner_words):
+    monkeypatch.setattr(lm, "SAMPLE_WORDS", 3000)
+    monkeypatch.setattr(lm, "LEARNER_WORDS", learner_words)
+    monkeypatch.setattr(lm, "FAN_IN", 2)
+    monkeypatch.setattr(lm, "FREQUENT", 0.01)
+    held = F.coalesce(F.col("doc_id").isin(4, 12), F.lit(False))
+    rows = {r.id: r.score for r in lm.scored(docs, held).collect() if r.id is not None}
+    training, path = docs.filter(~held), attention.vocabulary_path()
+    counts = lm.word_counts(training)
+    c = {bytes(r.word): r.c for r in counts.collect()}
+    n = sum(c.values())
+    model, share = lm.train(training, counts, n, path, "doc_id", "text")
+    subwords, step = attention.Subwords(path), attention.WINDOW - attention.OVERLAP
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
+    for i in sorted(texts, key=lambda i: len(texts[i] or ""))[:12] + [12]:
+        words = lm.words_of((texts[i] or "").encode())
+        stream = np.concatenate(([subwords.END], subwords.ids([words])[0]))
+        logs = []
+        for t in range(len(stream) - 1):
+            first = max(0, -(-(t + 1 - attention.WINDOW) // step)) * step
+            log = plain_log(model, stream[first:t + 1], stream[t + 1])
+            logs = logs + [log] if subwords.begins[stream[t + 1]] else [*logs[:-1], logs[-1] + log]
+        want = sum(math.log10(share * c.get(w, 0) / n + (1 - share) * math.exp(log)) for w, log in zip([*words, lm.END_WORD], logs, strict=True))
+        assert rows[i] == pytest.approx(want, abs=1e-3 + 1e-5 * abs(want)), i
+
+
+def test_lm_averages_weigh_by_ids():
+    import pyarrow as pa
+
+    rows = [{"learner": k, "n": float(k + 1), "weights": np.full(3, k, np.float32).tobytes()} for k in (2, 0, 1)]
+    total, mean = lm.averaged(pa.Table.from_pylist(rows))
+    assert total == 6 and np.frombuffer(mean, np.float32) == pytest.approx([(0 + 2 + 6) / 6] * 3)
+
+
 # --- 9 and 10 -------------------------------------------------------------------------------------
 
 def test_host_quality(spark, docs, empty):
