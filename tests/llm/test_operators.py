@@ -473,3 +473,18 @@ def test_passages_word_by_word(spark):
     text = {r.doc_id: r.text for r in out}
     assert text[1] == f"{word(2, 7)} {word(3, 7)}" and text[4] == "三四。" and text[6] == "c . d" and text[8] == rows[8][1]
     assert [(s.start, s.length) for s in next(r for r in out if r.doc_id == 4)._llm_removed] == [(1, 60)]
+
+
+def test_passages_in_many_contexts(spark):
+    """Few distinct words, so that seeds recur in many contexts, at ends of texts and several times in one text."""
+    draw = np.random.default_rng(21)
+    phrases = [" ".join("abcd"[int(k)] for k in draw.integers(0, 4, int(n))) for n in draw.integers(8, 40, 10)]
+    rows = []
+    for i in range(60):
+        words = " ".join(phrases[int(k)] for k in draw.integers(0, 10, 4)).split()
+        for k in draw.integers(0, len(words), int(draw.integers(0, 3))):
+            words[int(k)] = "e"
+        rows.append((i, " ".join(words[int(draw.integers(0, 5)):])))
+    rows += [(60, rows[0][1]), (61, "a " * 90 + "b"), (62, "c " + "a " * 70)]
+    out = passages.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text.split() for r in out} == removed_by_windows(rows, str.split)

@@ -7,8 +7,11 @@ in this order in one earlier place, so short sentences and names which recur by
 word is never removed, so every word survives once.
 
 Most windows occur once, so they are not grouped themselves at first. Each is given a seed, the least hash of the runs of
-half its words inside it. Equal windows have equal seeds and neighbours mostly share theirs, so seeds are few; only windows
-whose seed occurs more than once are digested (128 bits) and grouped over all documents.
+half its words inside it. Equal windows have equal seeds and neighbours mostly share theirs, so seeds are few, and only places
+of seeds that occur more than once are looked at again. Such a place is digested (128 bits) with its context, the words of
+every window that can hold it: where that occurs earlier, all windows of the place do, by one row. What is left is where a
+shared passage begins, ends or was edited: places of one seed in different contexts, of which the earliest of each context is
+taken apart into windows, which are digested and grouped over all documents.
 
 Null text stays null, empty text empty. Rows that equal each other in rank and text are one document here and are
 treated alike. Rank nulls come last. Removed spans are given as (start, length) in code points of the original text. Units,
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import batches, join_facts, saved
@@ -102,25 +105,58 @@ def _seeds(min_words: int):
     return run
 
 
-def _windows(min_words: int):
+def _contexts(min_words: int):
+    """Every place of a seed that occurs more than once, with the digest of all words of windows that can hold it."""
+    half = max(1, min_words // 2)
+    more = min_words - half
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, 1 << 18):
-            at, places, digests = [], [], []
+            at, places, own, digests = [], [], [], []
             for k, (body, shared) in enumerate(zip(batch.column("_llm_text").to_pylist(), batch.column("_llm_seeds"))):
                 words = tokens(body)
-                hit = np.flatnonzero(np.isin(seeds(words, min_words)[0], shared.values.to_numpy().view(np.uint64)))
+                found, where = seeds(words, min_words)
+                where, one = np.unique(where, return_index=True)
+                hit = np.isin(found[one], shared.values.to_numpy().view(np.uint64))
+                at.append(np.full(int(hit.sum()), k))
+                places.append(where[hit])
+                own.append(found[one][hit])
+                digests += [xxhash.xxh3_128_digest(f"{min(i, more)} " + " ".join(words[max(0, i - more):i + min_words])) for i in where[hit].tolist()]
+            at = pa.array(np.concatenate(at)) if at else pa.array([], pa.int64())
+            places = np.concatenate(places) if places else np.empty(0, np.int64)
+            own = np.concatenate(own).view(np.int64) if own else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_llm_rank").take(at), batch.column("_llm_tie").take(at), pa.array(places, pa.int32()), pa.array(own),
+                 pa.array(digests, pa.binary())], names=["_llm_rank", "_llm_tie", "_llm_word", "_llm_seed", "_llm_digest"])
+
+    return run
+
+
+def _windows(min_words: int):
+    """The windows of the given places, digested."""
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source, 1 << 18):
+            at, firsts, digests = [], [], []
+            for k, (body, wanted) in enumerate(zip(batch.column("_llm_text").to_pylist(), batch.column("_llm_places"))):
+                words = tokens(body)
+                hit = windows_of(words, wanted.values.to_numpy(), min_words)
                 at.append(np.full(len(hit), k))
-                places.append(hit)
+                firsts.append(hit)
                 digests += [xxhash.xxh3_128_digest(" ".join(words[i:i + min_words])) for i in hit.tolist()]
             at = pa.array(np.concatenate(at)) if at else pa.array([], pa.int64())
-            places = np.concatenate(places) if places else np.empty(0, np.int64)
+            firsts = np.concatenate(firsts) if firsts else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_llm_rank").take(at), batch.column("_llm_tie").take(at), pa.array(places, pa.int32()),
+                [batch.column("_llm_rank").take(at), batch.column("_llm_tie").take(at), pa.array(firsts, pa.int32()),
                  pa.array(digests, pa.binary())], names=["_llm_rank", "_llm_tie", "_llm_word", "_llm_digest"])
 
     return run
 
 
+def windows_of(words: list[str], places: np.ndarray, min_words: int) -> np.ndarray:
+    """The first words of the windows whose seed lies at one of the places."""
+    return np.flatnonzero(np.isin(seeds(words, min_words)[1], places))
+
+
 def without_windows(text: str, later: list[int], min_words: int) -> tuple[str, list[tuple[int, int]], int]:
     """The text without its windows that occur earlier, the spans removed and the number of units wholly removed.
     ``later`` holds the first words of those windows, in order."""
@@ -176,11 +212,10 @@ def _clean(min_words: int, columns: list[str], schema: pa.Schema | None = None):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
             out = []
-            for text, later in zip(batch.column("_llm_text").to_pylist(), batch.column("_llm_later").to_pylist()):
-                if text is None or not later:
-                    out.append((text, [], 0))
-                else:
-                    out.append(without_windows(text, later, min_words))
+            for text, later, places in zip(*(batch.column(c).to_pylist() for c in ("_llm_text", "_llm_later", "_llm_places"))):
+                if places:
+                    later = sorted({*(later or ()), *windows_of(tokens(text), np.array(places), min_words).tolist()})
+                out.append(without_windows(text, later, min_words) if later else (text, [], 0))
             kept = [batch.column(c) for c in columns]
             spans = pa.array([[{"start": s, "length": n} for s, n in o[1]] for o in out],
                              pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
@@ -191,24 +226,46 @@ def _clean(min_words: int, columns: list[str], schema: pa.Schema | None = None):
     return run
 
 
+def _by_document(body: DataFrame, what: DataFrame, column: str) -> DataFrame:
+    """``body`` of the documents that ``what`` has values of ``column`` for, with the set of them."""
+    sets = what.groupBy("_llm_rank", "_llm_tie").agg(F.collect_set(column).alias("_llm_set")).withColumnsRenamed(
+        {"_llm_rank": "_llm_r", "_llm_tie": "_llm_t"})
+    return body.join(sets, F.col("_llm_rank").eqNullSafe(F.col("_llm_r")) & (F.col("_llm_tie") == F.col("_llm_t")))
+
+
+def _after_first(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Rows whose digest stands at an earlier place; ``firsts`` has the first place and the number n of every digest."""
+    shared = firsts.filter("n > 1").select("_llm_digest", "first", "n")
+    return join_facts(rows, shared, "_llm_digest", "n", rows.count()).filter(~(_place() == F.col("first")))
+
+
+def _place() -> Column:
+    return F.struct(F.col("_llm_rank").isNull().alias("none"), "_llm_rank", "_llm_tie", "_llm_word")
+
+
 def later_windows(docs: DataFrame, rank: str, text: str, min_words: int) -> DataFrame:
-    """(_llm_rank, _llm_tie, _llm_later): for every document with one, the first words of windows that occur earlier."""
+    """(_llm_rank, _llm_tie, _llm_later, _llm_places): for every document with one, the first words of windows that occur
+    earlier, and the places of seeds all of whose windows do; either may be null."""
     body = docs.select(F.col(rank).alias("_llm_rank"), F.xxhash64(text).alias("_llm_tie"), F.col(text).alias("_llm_text"))
     body = body.filter("_llm_text is not null")
     kind = body.schema["_llm_rank"].dataType.simpleString()
-    seeded = saved(body.mapInArrow(_seeds(min_words), f"_llm_rank {kind}, _llm_tie long, _llm_seed long"), "seeds")
+    keys = f"_llm_rank {kind}, _llm_tie long"
+    seeded = saved(body.mapInArrow(_seeds(min_words), f"{keys}, _llm_seed long"), "seeds")
     often = saved(seeded.groupBy("_llm_seed").agg(F.count("*").alias("n")).filter("n > 1"), "often")
-    some = join_facts(seeded, often, "_llm_seed", "n", seeded.count()).groupBy("_llm_rank", "_llm_tie").agg(
-        F.collect_set("_llm_seed").alias("_llm_seeds")).withColumnsRenamed({"_llm_rank": "_llm_r", "_llm_tie": "_llm_t"})
-    narrow = body.join(some, F.col("_llm_rank").eqNullSafe(F.col("_llm_r")) & (F.col("_llm_tie") == F.col("_llm_t"))).select(
-        "_llm_rank", "_llm_tie", "_llm_text", "_llm_seeds")
-    found = saved(narrow.mapInArrow(
-        _windows(min_words), f"_llm_rank {kind}, _llm_tie long, _llm_word int, _llm_digest binary"), "windows")
-    place = F.struct(F.col("_llm_rank").isNull().alias("none"), "_llm_rank", "_llm_tie", "_llm_word")
-    shared = found.groupBy("_llm_digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    hits = join_facts(found, saved(shared, "shared"), "_llm_digest", "n", found.count())
-    later = hits.filter(~(place == F.col("first")))
-    return later.groupBy("_llm_rank", "_llm_tie").agg(F.sort_array(F.collect_set("_llm_word")).alias("_llm_later"))
+    some = _by_document(body, join_facts(seeded, often, "_llm_seed", "n", seeded.count()), "_llm_seed")
+    contexts = saved(some.select("_llm_rank", "_llm_tie", "_llm_text", F.col("_llm_set").alias("_llm_seeds")).mapInArrow(
+        _contexts(min_words), f"{keys}, _llm_word int, _llm_seed long, _llm_digest binary"), "contexts")
+    firsts = saved(contexts.groupBy("_llm_digest").agg(
+        F.min(_place()).alias("first"), F.count("*").alias("n"), F.min("_llm_seed").alias("_llm_seed")), "firsts")
+    places = _after_first(contexts.drop("_llm_seed"), firsts).groupBy("_llm_rank", "_llm_tie").agg(F.collect_set("_llm_word").alias("_llm_places"))
+    forks = firsts.groupBy("_llm_seed").agg(F.count("*").alias("n")).filter("n > 1")
+    apart = join_facts(firsts.select("_llm_seed", "first"), saved(forks, "forks"), "_llm_seed", "n", firsts.count()).select("first.*")
+    found = saved(_by_document(body, apart, "_llm_word").select("_llm_rank", "_llm_tie", "_llm_text", F.col("_llm_set").alias("_llm_places")).mapInArrow(
+        _windows(min_words), f"{keys}, _llm_word int, _llm_digest binary"), "windows")
+    shared = saved(found.groupBy("_llm_digest").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).filter("n > 1"), "shared")
+    later = _after_first(found, shared).groupBy("_llm_rank", "_llm_tie").agg(F.sort_array(F.collect_set("_llm_word")).alias("_llm_later"))
+    return later.unionByName(places, allowMissingColumns=True).groupBy("_llm_rank", "_llm_tie").agg(
+        F.first("_llm_later", True).alias("_llm_later"), F.first("_llm_places", True).alias("_llm_places"))
 
 
 def without_repeats(docs: DataFrame, rank: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -217,7 +274,7 @@ def without_repeats(docs: DataFrame, rank: str = "doc_id", text: str = "text", m
     keyed = docs.withColumn("_llm_t0", F.xxhash64(text))
     joined = keyed.join(later, keyed[rank].eqNullSafe(later["_llm_r"]) & (F.col("_llm_t0") == F.col("_llm_t")), "left")
     columns = [c for c in docs.columns if c != text]
-    flat = joined.select(*columns, F.col(text).alias("_llm_text"), "_llm_later")
+    flat = joined.select(*columns, F.col(text).alias("_llm_text"), "_llm_later", "_llm_places")
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + [
         "_llm_clean string, _llm_removed array<struct<start:long,length:long>>, _llm_n_removed long"])
     done = flat.mapInArrow(_clean(min_words, columns), schema)
