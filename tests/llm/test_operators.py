@@ -427,6 +427,23 @@ def test_one_of_each_line(spark):
     assert failed > 20 and {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(root.values())
 
 
+def test_dense_group_below_the_line_emits_no_pairs(spark, monkeypatch):
+    """Many documents near in bits, no two of them similar enough: the compared pairs do not grow with the square."""
+    base, n = [f"w{i}" for i in range(300)], 60
+    rows = [(d, " ".join(f"own{d}x{i}" if i % 30 == d % 2 else w for i, w in enumerate(base))) for d in range(n)]
+    prints = [simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5), 3) for _, t in rows]
+    near = sum(any(((x ^ y) % 2**64).bit_count() <= 8 for x, y in zip(prints[a], prints[b])) for a in range(n) for b in range(a))
+    compared, verified = [], simhash._verified
+
+    def counting(pairs, count, *rest):
+        compared.append(count)
+        return verified(pairs, count, *rest)
+
+    monkeypatch.setattr(simhash, "_verified", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.one_of_each(docs).count() == n and near > 5 * n and sum(compared) < 2 * n
+
+
 # --- passages word by word -----------------------------------------------------------------------
 
 def removed_by_windows(rows, split, n=passages.MIN_WORDS):

@@ -13,7 +13,10 @@ all connected already is skipped, so a dense group costs no list of its pairs ei
 links with the same components.
 
 SimHash only estimates similarity. ``one_of_each`` takes such links as candidates: it compares the shingle sets of both
-ends and groups by the links that reach the line. There a node pair is skipped only if links that reached it connect it.
+ends and groups by the links that reach the line. A node without a link in the first forest has no candidate at all; the
+others are walked again with parity sketches, of which the differing bits never exceed the differing shingles. So a pair
+whose sketches differ too much is below the line for certain and never leaves its task, and what does is nearly always a
+link: a forest of such pairs is enough, however dense the group.
 """
 
 from __future__ import annotations
@@ -39,8 +42,13 @@ LEAF_PAIRS = 64
 #: Leaf pairs compared at once, and node pairs walked at once.
 CHUNK = 1 << 19
 TASK_ROWS = 200_000
+TASK_BYTES = 64 << 20
 #: For the rounding of line * size.
 SLACK = 1e-9
+#: A parity sketch has at least this many bits a shingle, and less than twice as many.
+SKETCH_BITS = 4
+#: Bytes of sketches compared at once.
+SKETCH_BYTES = 8 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -82,6 +90,46 @@ def set_digest(hashes: np.ndarray) -> tuple[int, int]:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)), len(own)
 
 
+def parity_sketch(own: np.ndarray) -> np.ndarray:
+    """For every place of a row of bits, whether an odd number of these distinct hashes fall on it. The row is a power of
+    two of bytes, and one half as long is the exclusive or of its halves."""
+    n = 64
+    while n < SKETCH_BITS * len(own):
+        n *= 2
+    at = own & np.uint64(n - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=n) & 1).astype(bool), bitorder="little")
+
+
+class Sketches:
+    """The sketches of nodes, by length."""
+
+    def __init__(self, rows: list[bytes], size: np.ndarray, line: float):
+        self.size, self.line = size, line
+        self.length = np.array([len(r) for r in rows], np.int64)
+        self.place = np.zeros(len(rows), np.int64)
+        self.bits: dict[int, np.ndarray] = {}
+        for n in np.unique(self.length).tolist():
+            own = np.flatnonzero(self.length == n)
+            self.place[own] = np.arange(len(own))
+            self.bits[n] = np.frombuffer(b"".join(rows[i] for i in own.tolist()), np.uint64).reshape(len(own), n // 8)
+
+    def can_reach(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the nodes' sets may have a Jaccard similarity of ``line``; true for all that have."""
+        a, b = np.where(self.length[a] < self.length[b], b, a), np.where(self.length[a] < self.length[b], a, b)
+        apart = np.zeros(len(a), np.int64)
+        kinds = self.length[a] * (1 << 32) + self.length[b]
+        for kind in np.unique(kinds).tolist():
+            which = np.flatnonzero(kinds == kind)
+            for part in np.array_split(which, len(which) * (kind >> 32) // SKETCH_BYTES + 1):
+                left, right = self.bits[kind >> 32][self.place[a[part]]], self.bits[kind & 0xFFFFFFFF][self.place[b[part]]]
+                while left.shape[1] > right.shape[1]:
+                    half = left.shape[1] // 2
+                    left = left[:, :half] ^ left[:, half:]
+                apart[part] = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
+        both = self.size[a] + self.size[b]
+        return apart <= (1 - self.line) / (1 + self.line) * both + SLACK
+
+
 def _fingerprints(shingle: int, words: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
@@ -123,6 +171,15 @@ def _shingle_sets(shingle: int):
     return run
 
 
+def _sketched(shingle: int):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source):
+            sketches = [parity_sketch(np.unique(shingle_hashes(t.as_py(), shingle))).tobytes() for t in batch.column("_llm_text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sketches, pa.binary())], names=["node", "sketch"])
+
+    return run
+
+
 def blocks_for(bits: int, n: int) -> tuple[int, list[int]]:
     """The number of equal blocks c and the masks of all choices of c among bits + c blocks."""
     for c in range(1, 65 - bits):
@@ -140,10 +197,10 @@ def blocks_for(bits: int, n: int) -> tuple[int, list[int]]:
 
 class _Forest:
     """Which nodes are connected so far: the label of a node is the smallest node connected to it. ``owner`` is the node of
-    every leaf, the same in all tries that it stands in."""
+    every leaf, the same in all tries that it stands in, and ``node`` the number of its sketch if there are any."""
 
-    def __init__(self, owner: np.ndarray):
-        self.owner = owner
+    def __init__(self, owner: np.ndarray, node: np.ndarray | None = None):
+        self.owner, self.node = owner, node
         self.label = np.arange(int(owner.max(initial=-1)) + 1)
         self._steps()
 
@@ -191,7 +248,7 @@ class _Every(_Forest):
 
 
 def _compare(fp: np.ndarray, forest: _Forest, pairs: np.ndarray, bits: int, size: np.ndarray | None = None,
-             line: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+             line: float = 0.0, sketches: Sketches | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All leaf pairs of the node pairs (columns s1 e1 s2 e2) in one chunk."""
     s1, e1, s2, e2 = pairs
     counts = (e1 - s1) * (e2 - s2)
@@ -204,7 +261,18 @@ def _compare(fp: np.ndarray, forest: _Forest, pairs: np.ndarray, bits: int, size
     near = np.bitwise_count(fp[a] ^ fp[b]) <= bits
     if size is not None:  # sets that differ more in size cannot reach the line
         near &= np.minimum(size[a], size[b]) >= line * np.maximum(size[a], size[b]) - SLACK
-    return forest.join(a[near], b[near])
+    a, b = a[near], b[near]
+    if sketches is None:
+        return forest.join(a, b)
+    made, step = [], LEAF_PAIRS
+    while len(a):  # a part at a time, each twice the last, as the links of one settle pairs of the next
+        open_ = forest.fresh(a, b)
+        a, b = a[open_], b[open_]
+        reach = sketches.can_reach(forest.node[a[:step]], forest.node[b[:step]])
+        made.append(forest.join(a[:step][reach], b[:step][reach]))
+        a, b, step = a[step:], b[step:], 2 * step
+    empty = np.empty(0, np.int64)
+    return np.concatenate([empty, *[m[0] for m in made]]), np.concatenate([empty, *[m[1] for m in made]])
 
 
 def trie_links(fp: np.ndarray, starts: np.ndarray, bits: int, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +288,7 @@ def trie_links(fp: np.ndarray, starts: np.ndarray, bits: int, owner: np.ndarray
 
 
 def _links(fp: np.ndarray, starts: np.ndarray, bits: int, forest: _Forest, set_size: np.ndarray | None = None,
-           line: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+           line: float = 0.0, sketches: Sketches | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The links of ``trie_links`` as they are found."""
     roots = np.stack([starts[:-1], starts[1:], starts[:-1], starts[1:]])
     stack = [(63, roots[:, starts[1:] - starts[:-1] > 1], np.zeros(int((starts[1:] - starts[:-1] > 1).sum()), np.int64))]
@@ -245,7 +313,7 @@ def _links(fp: np.ndarray, starts: np.ndarray, bits: int, forest: _Forest, set_s
             leaves, sizes = pairs[:, small], size[small]
             room = np.cumsum(sizes) // CHUNK
             for cut in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(room)) + 1):
-                yield _compare(fp, forest, leaves[:, cut], bits, set_size, line)
+                yield _compare(fp, forest, leaves[:, cut], bits, set_size, line, sketches)
         pairs, spent = pairs[:, ~small], spent[~small]
         if not len(spent):
             continue
@@ -288,7 +356,7 @@ def _walk(bits: int, masks: list[int]):
     return safe
 
 
-def _walk_candidates(bits: int, masks: list[int], every: bool, line: float):
+def _walk_candidates(bits: int, masks: list[int], every: bool, line: float, sketched: bool):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(source)
         if not held:
@@ -298,23 +366,30 @@ def _walk_candidates(bits: int, masks: list[int], every: bool, line: float):
         key = fp & np.array(masks, np.int64)[trie % len(masks)]
         fp = fp.astype(np.int64).view(np.uint64)
         order = np.lexsort((fp, key, trie))
-        trie, key, fp, node, label, size = (x[order] for x in (trie, key, fp, node, label, size))
+        trie, key, fp, label = (x[order] for x in (trie, key, fp, label))
         new = np.flatnonzero((trie[1:] != trie[:-1]) | (key[1:] != key[:-1])) + 1
-        forest = (_Every if every else _Forest)(np.unique(label, return_inverse=True)[1])
-        for a, b in _links(fp, np.concatenate(([0], new, [len(fp)])), bits, forest, size, line):
+        nodes, first, owner = np.unique(node, return_index=True, return_inverse=True)
+        sketches = None
+        if sketched:
+            column = rows.column("sketch").combine_chunks()
+            sketches = Sketches([column[i].as_py() for i in first.tolist()], size[first], line)
+        node, owner, size = node[order], owner[order], size[order]
+        forest = (_Every if every else _Forest)(np.unique(label, return_inverse=True)[1], owner)
+        for a, b in _links(fp, np.concatenate(([0], new, [len(fp)])), bits, forest, size, line, sketches):
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     return run
 
 
-def _dealt(nodes: DataFrame, n: int, bits: int, words: int, *more: str) -> tuple[DataFrame, list[int]]:
-    """(trie, fp, node, ``more``), a row for each trie that a fingerprint word stands in, dealt out by trie, and the masks."""
+def _dealt(nodes: DataFrame, n: int, bits: int, words: int, *more: str, n_bytes: int = 0) -> tuple[DataFrame, list[int]]:
+    """(trie, fp, node, ``more``), a row for each trie that a fingerprint word stands in, dealt out by trie, and the masks.
+    ``n_bytes`` is what the nodes' sketches take."""
     masks = blocks_for(bits, n)[1]
     tops = F.explode(F.array(*[F.struct(F.lit(t).alias("t")) for t in range(len(masks))]))
     words_in = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"fp{k}").alias("fp")) for k in range(words)]))
     rows = nodes.select("node", *more, words_in.alias("w")).select("node", *more, "w", tops.alias("top")).select(
         (F.col("w.k") * len(masks) + F.col("top.t")).alias("trie"), F.col("w.fp").alias("fp"), "node", *more)
-    parts = max(1, n * len(masks) * words // TASK_ROWS + 1)
+    parts = max(n * len(masks) * words // TASK_ROWS, n_bytes * len(masks) * words // TASK_BYTES) + 1
     mask = F.get(F.array(*[F.lit(m) for m in masks]), F.col("trie") % len(masks))
     return rows.repartition(parts, "trie", F.col("fp").bitwiseAND(mask)), masks
 
@@ -367,31 +442,44 @@ def similar_groups(prints: DataFrame, bodies: DataFrame, bits: int, words: int,
     that differ in at most ``bits`` bits in one of their words and are similar by ``line`` or more. node stands for a shingle
     set, size is its size; ``bodies`` has node and _llm_text of every document that is the first of its set.
 
-    Forests of candidates are compared first and connect the dense groups. When that stops to pay, every candidate between
-    nodes that are not connected is compared, so none is lost because a forest took another in its place.
+    The first walk gives a forest of candidates, which touches every node that has one. Only these are walked again, with
+    sketches. A forest all of whose links reach the line has passed over no pair that they do not connect, so that is the
+    end. When most links of a forest fail, every pair of sketches that may reach the line between nodes that are not
+    connected is compared, so none is lost because a forest took another in its place.
     """
     fps = [f"fp{k}" for k in range(words)]
     classes = saved(prints.groupBy("node").agg(F.min(F.struct("size", *fps)).alias("f"), F.count("*").alias("_llm_copies"))
-                    .select("node", "_llm_copies", "f.*").withColumn("label", F.col("node")), "classes")
+                    .select("node", "_llm_copies", "f.*"), "classes")
     count, total = classes.agg(F.count("*"), F.coalesce(F.sum("_llm_copies"), F.lit(0))).first()
     links, every = None, False
+    walked, n_walked, n_bytes, more = classes.withColumn("label", F.col("node")), count, 0, ["label", "size"]
     while True:
-        rows, masks = _dealt(classes, count, bits, words, "label", "size")
-        pairs = rows.mapInArrow(_walk_candidates(bits, masks, every, line), "a long, b long")
+        rows, masks = _dealt(walked, n_walked, bits, words, *more, n_bytes=n_bytes)
+        pairs = rows.mapInArrow(_walk_candidates(bits, masks, every, line, links is not None), "a long, b long")
         pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
         n = pairs.count()
-        if n:
-            good = _verified(pairs, n, bodies, shingle, line)
-            made = good.count()
-            links = good if links is None else links.unionByName(good)
-            roots = components(links)
-            classes = saved(classes.drop("label").join(roots, "node", "left").withColumn(
-                "label", F.coalesce("root", "node")).drop("root"), "labels")
-        if every or not n:
+        if not n:
+            break
+        good = _verified(pairs, n, bodies, shingle, line)
+        made = good.count()
+        if links is None:
+            touched = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+            sketches = bodies.join(touched, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(
+                _sketched(shingle), "node long, sketch binary")
+            walked, more = saved(walked.join(sketches, "node"), "touched"), ["label", "size", "sketch"]
+            n_walked, n_bytes = walked.agg(F.count("*"), F.sum(F.length("sketch"))).first()
+        links = good if links is None else links.unionByName(good)
+        if every or made == n:
             break
-        every = 2 * made < n
-    labelled = classes.select("node", F.col("label").alias("_llm_root"), "_llm_copies")
-    return join_facts(prints, labelled, "node", "_llm_copies", total)
+        walked = saved(walked.drop("label").join(components(links), "node", "left").withColumn(
+            "label", F.coalesce("root", "node")).drop("root"), "labels")
+        every = 2 * made < n and "sketch" in rows.columns
+    if links is None:
+        labelled = classes.select("node", F.col("node").alias("_llm_root"), "_llm_copies")
+    else:
+        labelled = classes.join(components(links), "node", "left").select(
+            "node", F.coalesce("root", "node").alias("_llm_root"), "_llm_copies")
+    return join_facts(prints, saved(labelled, "labelled"), "node", "_llm_copies", total)
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, bits: int = 8,
