@@ -52,8 +52,8 @@ def candidates(tokens: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarr
     penalty[doc_ends] = 0
     penalty[0] = 0
     at = np.flatnonzero(penalty >= 0)
-    # of sentences that end close to each other, the first will do
-    at = at[(penalty[at] == 0) | (np.diff(at, prepend=-LEAST_GAP) >= LEAST_GAP)]
+    # of sentences that end in one cell of LEAST_GAP tokens, the first will do, also in a list of very short ones
+    at = at[(penalty[at] == 0) | (np.diff(at // LEAST_GAP, prepend=-1) > 0)]
     penalty[:] = np.where(np.isin(np.arange(n + 1), at, kind="table"), penalty, -1)
     if at[-1] != n:
         at = np.append(at, n)
