@@ -274,3 +274,39 @@ def test_hidden_elements_end():
                  "<script>no</script>", "<script-x></script-x>", "<svg\n>no</svg\n>", "<noscript>no</noscript>", '<script data-x="/">no</script>'):
         assert said(html + "<p>article text</p>") == "article text", html
     assert said("<p>seen</p><script>no <p>no</p>") == said("<p>seen</p><style>no") == "seen"
+
+
+def test_heads_comments_and_links_end():
+    said = lambda html: " ".join(b.text for b in htmltext.leaf_blocks(html))
+    for html in ("<html><head><title>x</title><article><p>shown</p></article>", "<head><meta a=b><title>x</title>shown", "<title>x</title><p>shown",
+                 "<html><head><title>x</title></head><body><p>shown", "<!--><p>shown</p><!-- no -->", "<!---><p>shown</p>", "<!-- no --!><p>shown",
+                 "<head><title>x</title><link href=a><style>no</style><br>shown", "<!-- no <p>no</p> --><p>shown"):
+        assert said(html) == "shown", html
+    (block,) = htmltext.leaf_blocks("<p><a href=x><b><i><u><em><strong>linked</strong></em></u></i></b></a> not")
+    assert block.text == "linked not" and block.linked == len("linked")
+    blocks = htmltext.leaf_blocks("<ul><li><a href=x>one<li>two</ul>")
+    assert [b.text for b in blocks] == ["one", "two"] and blocks[0].linked == 3
+
+
+# --- parity sketches ------------------------------------------------------------------------------
+
+def test_sketches_never_hide_a_link():
+    draw = np.random.default_rng(5)
+    sets = [np.empty(0, np.uint64)]
+    for n in (1, 3, 40, 200, 260, 1030):
+        base = draw.integers(0, 1 << 63, n).astype(np.uint64)
+        for share in (0.0, 0.05, 0.1, 0.15, 0.3):
+            keep = base[draw.random(n) >= share]
+            sets.append(np.unique(np.concatenate((keep, draw.integers(0, 1 << 63, int(n * share)).astype(np.uint64)))))
+    sketches = simhash.Sketches([simhash.parity_sketch(s).tobytes() for s in sets], np.array([len(s) for s in sets]), 0.8)
+    a, b = np.triu_indices(len(sets), 1)
+    said, passed_over = sketches.can_reach(a, b), 0
+    assert (said == sketches.can_reach(b, a)).all()
+    for x, y, reach in zip(a, b, said):
+        union = len(np.union1d(sets[x], sets[y]))
+        true = len(np.intersect1d(sets[x], sets[y])) / union if union else 1.0
+        assert reach or true < 0.8
+        if len(sets[x]) > 100 and true < 0.76:
+            assert not reach
+            passed_over += 1
+    assert passed_over > 50

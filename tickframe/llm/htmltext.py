@@ -32,12 +32,12 @@ LAID_OUT_PAGES = 500
 EPOCHS = 6
 SEED = 7
 
-# Fixed values of HTML: elements that start a new block, that have no end tag, and whose text is never shown.
+# Fixed values of HTML: elements that start a new block, that have no end tag, and that a head may hold; any other ends it.
 BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section
 select summary table tbody td textarea tfoot th thead title tr ul label iframe""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = ("script", "style", "noscript", "template", "head", "svg", "math", "object", "iframe", "canvas", "audio", "video")
+HEAD_PARTS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 ENDS_ITSELF = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
                "th": ("td", "th"), "option": ("option",)}
 STOPS_AT = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"),
@@ -46,10 +46,10 @@ STOPS_AT = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("ta
 #: Elements whose text is never shown, whole. A name ends at a space, slash or >, so svg-icon is not svg; <svg/> is empty. Only
 #: script and style run to the end of the page when they are not closed; others then count as a tag like any.
 _RAW = (r"<(?:svg|math)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<=/)>"
-        r"|<(?P<raw>noscript|template|svg|math|object|iframe|canvas|audio|video)(?=[\s/>])[^>]*>.*?</(?P=raw)\s*>"
+        r"|<(?P<raw>noscript|template|title|svg|math|object|iframe|canvas|audio|video)(?=[\s/>])[^>]*>.*?</(?P=raw)\s*>"
         r"|<(?P<code>script|style)(?=[\s/>])[^>]*>.*?(?:</(?P=code)\s*>|\Z)")
 _PART = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|" + _RAW
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|" + _RAW
     + r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -66,7 +66,7 @@ class Block:
 def leaf_blocks(html: str) -> list[Block]:
     """The leaf blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], str]] = []  # tag, names of it and its ancestors, label
+    stack: list[tuple[str, frozenset[str], str, bool]] = []  # tag, names of it and its ancestors, label, whether in a link
     pieces: list[str] = []
     linked = 0
     nothing = frozenset()
@@ -78,15 +78,17 @@ def leaf_blocks(html: str) -> list[Block]:
             if text:
                 path = tuple(s[0] for s in stack)
                 if "head" not in path:
-                    top = stack[-1] if stack else ("", nothing, "")
+                    top = stack[-1] if stack else ("", nothing, "", False)
                     out.append(Block(text, path, top[1], linked, top[2]))
             pieces.clear()
         linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and not text.isspace():
+            stack.pop()
         pieces.append(text)
-        if any(s[0] == "a" for s in stack[-4:]):
+        if stack and stack[-1][3]:
             linked += len(text)
 
     at = 0
@@ -109,6 +111,9 @@ def leaf_blocks(html: str) -> list[Block]:
                 if tag == "p":
                     close()
             continue
+        if tag not in HEAD_PARTS and any(s[0] == "head" for s in stack):
+            close()
+            del stack[next(i for i, s in enumerate(stack) if s[0] == "head"):]
         if tag == "br":
             add(" ")
             continue
@@ -137,7 +142,7 @@ def leaf_blocks(html: str) -> list[Block]:
                     own.update(_NAME.findall(_CAMEL.sub(" ", value).lower()))
             if own:
                 names = names | own
-        stack.append((tag, names, label))
+        stack.append((tag, names, label, tag == "a" or bool(stack) and stack[-1][3]))
     if at < len(html):
         add(html[at:])
     close()
