@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import batches, join_facts, saved
+from tickframe.llm.common import HOT_SHARE, batches, saved
 
 MIN_WORDS = 20
 _CUT = re.compile(r"[ \t\r\f\v]*\n\s*|(?<=[.!?])[ \t]+|[ \t]+(?=[^\W\d_a-zß-öø-ÿ])")
@@ -233,10 +233,21 @@ def _by_document(body: DataFrame, what: DataFrame, column: str) -> DataFrame:
     return body.join(sets, F.col("_llm_rank").eqNullSafe(F.col("_llm_r")) & (F.col("_llm_tie") == F.col("_llm_t")))
 
 
+def _with_facts(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """Join per-key facts (saved; n is the number of rows with the key, ``total`` of all) to many rows. Hot keys, fewer than
+    1/HOT_SHARE by their definition, come to the driver: a filter parts their rows, which meet broadcast facts unshuffled."""
+    hot, cold = facts.filter(F.col("n") > HOT_SHARE * total).drop("n"), facts.filter(F.col("n") <= HOT_SHARE * total).drop("n")
+    marks = [r[0] for r in hot.select(key).collect()]
+    if not marks:
+        return rows.join(cold, key)
+    return rows.filter(F.col(key).isin(marks)).join(F.broadcast(hot), key).unionByName(
+        rows.filter(~F.col(key).isin(marks)).join(cold, key))
+
+
 def _after_first(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     """Rows whose digest stands at an earlier place; ``firsts`` has the first place and the number n of every digest."""
     shared = firsts.filter("n > 1").select("_llm_digest", "first", "n")
-    return join_facts(rows, shared, "_llm_digest", "n", rows.count()).filter(~(_place() == F.col("first")))
+    return _with_facts(rows, shared, "_llm_digest", rows.count()).filter(~(_place() == F.col("first")))
 
 
 def _place() -> Column:
@@ -252,14 +263,14 @@ def later_windows(docs: DataFrame, rank: str, text: str, min_words: int) -> Data
     keys = f"_llm_rank {kind}, _llm_tie long"
     seeded = saved(body.mapInArrow(_seeds(min_words), f"{keys}, _llm_seed long"), "seeds")
     often = saved(seeded.groupBy("_llm_seed").agg(F.count("*").alias("n")).filter("n > 1"), "often")
-    some = _by_document(body, join_facts(seeded, often, "_llm_seed", "n", seeded.count()), "_llm_seed")
+    some = _by_document(body, _with_facts(seeded, often, "_llm_seed", seeded.count()), "_llm_seed")
     contexts = saved(some.select("_llm_rank", "_llm_tie", "_llm_text", F.col("_llm_set").alias("_llm_seeds")).mapInArrow(
         _contexts(min_words), f"{keys}, _llm_word int, _llm_seed long, _llm_digest binary"), "contexts")
     firsts = saved(contexts.groupBy("_llm_digest").agg(
         F.min(_place()).alias("first"), F.count("*").alias("n"), F.min("_llm_seed").alias("_llm_seed")), "firsts")
     places = _after_first(contexts.drop("_llm_seed"), firsts).groupBy("_llm_rank", "_llm_tie").agg(F.collect_set("_llm_word").alias("_llm_places"))
     forks = firsts.groupBy("_llm_seed").agg(F.count("*").alias("n")).filter("n > 1")
-    apart = join_facts(firsts.select("_llm_seed", "first"), saved(forks, "forks"), "_llm_seed", "n", firsts.count()).select("first.*")
+    apart = _with_facts(firsts.select("_llm_seed", "first"), saved(forks, "forks"), "_llm_seed", firsts.count()).select("first.*")
     found = saved(_by_document(body, apart, "_llm_word").select("_llm_rank", "_llm_tie", "_llm_text", F.col("_llm_set").alias("_llm_places")).mapInArrow(
         _windows(min_words), f"{keys}, _llm_word int, _llm_digest binary"), "windows")
     shared = saved(found.groupBy("_llm_digest").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).filter("n > 1"), "shared")
